@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ["quality", "features"]
+TOPICS = ["quality", "features", "sequences", "evaluation"]
 
 
 def load() -> tuple[dict, dict]:
