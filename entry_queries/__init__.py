@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ["quality", "features", "sequences", "evaluation"]
+TOPICS = ["quality", "features", "sequences", "evaluation", "streams", "monitoring"]
 
 
 def load() -> tuple[dict, dict]:

@@ -58,15 +58,15 @@ def r(expr: str, name: str | None = None) -> str:
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles rounded to six decimals on the Spark side."""
-    return df.select(
-        *[
-            (F.round(F.col(f"`{f.name}`"), 6) + F.lit(0.0)).alias(f.name)
-            if isinstance(f.dataType, T.DoubleType)
-            else F.col(f"`{f.name}`")
-            for f in df.schema.fields
-        ]
-    )
+    """Doubles rounded to six decimals and dates as text on the Spark side."""
+
+    def plain(f: T.StructField):
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.DoubleType):
+            return (F.round(c, 6) + F.lit(0.0)).alias(f.name)
+        return c.cast("string").alias(f.name) if isinstance(f.dataType, T.DateType) else c
+
+    return df.select(*[plain(f) for f in df.schema.fields])
 
 
 def per_column(columns: list[str], template: str) -> str:

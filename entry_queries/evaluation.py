@@ -284,6 +284,13 @@ def lead(diff, small, same, what):
     )
 
 
+def shares(grid):
+    return (
+        "SELECT count(*) FILTER (WHERE zone IN ('A', 'B')) * 100.0::DOUBLE / count(*) AS ab, "
+        f"count(*) FILTER (WHERE zone = 'A') * 100.0::DOUBLE / count(*) AS a FROM zoned_{grid}"
+    )
+
+
 @query(
     "compare_grids",
     pairs_sql(
@@ -291,8 +298,7 @@ def lead(diff, small, same, what):
         {lead('a', 1, 'Similar clinical acceptability between Parkes and Clarke grids', 'clinical acceptability')} || '; ' ||
         {lead('z', 2, 'Similar precision (Zone A) between grids', 'precision')} || '; ' ||
         CASE WHEN a < 0 THEN 'Parkes grid provides more stringent clinical assessment' ELSE 'Results consistent between both clinical assessment methods' END AS comparison
-        FROM (SELECT p.parkes_clinically_acceptable_percent - c.clarke_clinically_acceptable_percent AS a, p.parkes_zone_a_percent - c.clarke_zone_a_percent AS z
-          FROM ({summary_sql('parkes_type1')}) p, ({summary_sql('clarke')}) c)""",
+        FROM (SELECT p.ab - c.ab AS a, p.a - c.a AS z FROM ({shares('parkes_type1')}) p, ({shares('clarke')}) c)""",
         zoned("clarke"),
         zoned("parkes_type1"),
     ),

@@ -59,19 +59,25 @@ def read_cgm_csv(spark: SparkSession, path: str, schema: T.StructType = CORE) ->
     Missing-value tokens and unparseable values become NULL; unreadable files are
     skipped, and it is an error when nothing can be read.
     """
-    headers = probe_headers(spark, path, []).groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
+    probed = probe_headers(spark, path, [])
+    headers = [r["header"] for r in probed.select("header").distinct().collect()]
     if not headers:
         raise FileNotFoundError(f"no CSV file below {path}")
-    frames = []
-    for h in headers:
-        raw = (
-            spark.read.option("header", True)
-            .option("mode", "PERMISSIVE")
-            .option("ignoreCorruptFiles", True)
-            .option("enforceSchema", False)
-            .csv([p.replace("file:///", "/") for p in h["paths"]])
-        )
-        frames.append(raw.withColumn("_path", F.col("_metadata.file_path")))
+    reader = (
+        spark.read.option("header", True)
+        .option("mode", "PERMISSIVE")
+        .option("ignoreCorruptFiles", True)
+        .option("enforceSchema", False)
+    )
+    if len(headers) == 1:
+        raws = [reader.option("recursiveFileLookup", True).option("pathGlobFilter", CSV).csv(path)]
+    else:
+        # File names of the odd headers; the driver lists files in any case.
+        raws = []
+        for header in headers:
+            rows = probed.filter(F.col("header") == header).select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("p"))
+            raws.append(reader.csv([r["p"] for r in rows.collect()]))
+    frames = [raw.withColumn("_path", F.col("_metadata.file_path")) for raw in raws]
     table = union_tables(frames)
     declared = {f.name: f.dataType for f in schema.fields}
     out = []
