@@ -593,7 +593,8 @@ def probe_headers(spark, d):
 @query("skip_bad_files")
 def skip_bad_files(spark, d):
     folder = export(spark, d)
-    spark.createDataFrame([("not,a\nreadable",)], "v string").write.mode("append").text(f"{folder}/broken")
+    # A file with a foreign header among the exports.
+    spark.createDataFrame([("1", "2")], "foo string, bar string").write.option("header", True).csv(f"{folder}/foreign")
     return S.read_cgm_csv(spark, folder).groupBy("participant_id").agg(F.count("EventDateTime").alias("readings"))
 
 

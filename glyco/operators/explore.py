@@ -125,9 +125,8 @@ def rolling_14d_dashboard(df: DataFrame, days: int = 14, hyper: float = E.HYPER)
     sums = {c: F.sum(c).over(w) for c in ("rows", "n", "total", "squares", "in_range", "hyper")}
     summed = daily.select(KEY, "day", *[v.alias(k) for k, v in sums.items()])
     n = F.col("n")
-    variance = F.greatest(
-        F.try_divide(F.col("squares") - F.try_divide(F.col("total") * F.col("total"), n), n - 1), F.lit(0.0)
-    )
+    spread = F.col("squares") - F.try_divide(F.col("total") * F.col("total"), n)
+    variance = F.when(n > 1, F.greatest(F.try_divide(spread, n - 1), F.lit(0.0)))
     return summed.select(
         KEY,
         "day",

@@ -24,14 +24,13 @@ def _named(position: Column, first: int, second: int) -> Column:
     return F.when(position < first, "train").when(position < second, "val").otherwise("test")
 
 
-def participant_ranks(df: DataFrame, seed: int = 42, key: str = KEY, limit: int | None = None) -> tuple[DataFrame, int]:
+def participant_ranks(df: DataFrame, seed: int = 42, key: str = KEY) -> tuple[DataFrame, int]:
     """Participants in a seeded random order that any engine reproduces (md5 of seed and id)."""
     people = df.select(key).distinct()
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     hashed = people.withColumn("_h", digest)
     leading = F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint")
-    options = {} if limit is None else {"limit": limit}
-    ranked, n = binned_index(hashed, leading, ["_h"], "_rank", **options)
+    ranked, n = binned_index(hashed, leading, ["_h"], "_rank")
     return ranked.drop("_h"), n
 
 

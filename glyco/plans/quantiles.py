@@ -12,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GROUP_ROWS = 2_000_000
+from ..session import limit
+
+GROUP_ROWS = "spark.glyco.quantiles.groupRows"
 ACCURACY = 10_000
 GRID = 1_000
 KEPT = 0.006  # share of the rows a round keeps: grid step and sketch error on both sides
@@ -27,7 +29,7 @@ def same(left: list[str], right: list[str]) -> Column:
 
 
 def _lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join a per-group table; it has at most rows/GROUP_ROWS groups, so it is broadcast."""
+    """Join a per-group table; it has at most rows/limit groups, so it is broadcast."""
     other = [f"_b{i}" for i in range(len(keys))]
     values = [c for c in table.columns if c not in keys]
     renamed = table.select(*[F.col(k).alias(o) for k, o in zip(keys, other)], *values)
@@ -63,7 +65,7 @@ def _narrow(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return counted.withColumn("_rank", F.col("_rank") - F.coalesce("_below", F.lit(0))).drop("_below")
 
 
-def _large(df: DataFrame, by: list[str], value: str, probs: list[float], largest: int, limit: int) -> DataFrame:
+def _large(df: DataFrame, by: list[str], value: str, probs: list[float], largest: int, most: int) -> DataFrame:
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     rows = (
         _lookup(df, sizes, by)
@@ -76,7 +78,7 @@ def _large(df: DataFrame, by: list[str], value: str, probs: list[float], largest
     while True:
         rows = _narrow(rows, keys, value)
         left *= KEPT
-        if left <= limit:
+        if left <= most:
             break
     counts = rows.groupBy(*keys, "_rank", value).agg(F.count(F.lit(1)).alias("_f"))
     seen = F.sum("_f").over(Window.partitionBy(*keys).orderBy(value))
@@ -93,36 +95,43 @@ def _large(df: DataFrame, by: list[str], value: str, probs: list[float], largest
 
 
 def group_quantiles(
-    df: DataFrame, by: list[str], value: str, probs: list[float], limit: int = GROUP_ROWS
+    df: DataFrame, by: list[str], value: str, probs: list[float], most: int | None = None
 ) -> DataFrame:
     """``by`` columns and ``quantiles array<double>`` in the order of ``probs``."""
+    most = most or limit(df.sparkSession, GROUP_ROWS)
     data = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     exact = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("quantiles")
     sizes = data.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest <= limit:
+    if largest <= most:
         return data.groupBy(*by).agg(exact)
-    big = sizes.filter(F.col("_n") > limit)
+    big = sizes.filter(F.col("_n") > most)
     marked = _lookup(data, big, by, "left")
     small = marked.filter(F.col("_n").isNull()).groupBy(*by).agg(exact)
-    large = _large(marked.filter(F.col("_n").isNotNull()).drop("_n"), by, "_v", probs, largest, limit)
+    large = _large(marked.filter(F.col("_n").isNotNull()).drop("_n"), by, "_v", probs, largest, most)
     return small.unionByName(large)
 
 
 def quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], limit: int = GROUP_ROWS
+    df: DataFrame, columns: list[str], probs: list[float], most: int | None = None
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of whole columns as plain numbers (a fit, like ``approxQuantile``)."""
+    most = most or limit(df.sparkSession, GROUP_ROWS)
     at = F.array(*[F.lit(float(p)) for p in probs])
     counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    small = [c for c in columns if counts[c] <= limit]
+    small = [c for c in columns if counts[c] <= most]
     out: dict[str, list[float | None]] = {}
     if small:
         row = df.agg(*[F.percentile(F.col(c).cast("double"), at).alias(c) for c in small]).first()
         out = {c: list(row[c] or [None] * len(probs)) for c in small}
-    for c in columns:
-        if c not in out:
-            data = df.select(F.lit(0).alias("_all"), F.col(c).cast("double").alias("_v"))
-            data = data.filter(F.col("_v").isNotNull())
-            out[c] = list(_large(data, ["_all"], "_v", probs, counts[c], limit).first()["quantiles"])
+    large = [c for c in columns if c not in small]
+    if large:
+        # All large columns in one pass, as (column, value) rows.
+        cells = [F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in large]
+        stacked = df.select(F.explode(F.array(*cells)).alias("_s")).select(
+            F.col("_s.c").alias("_name"), F.col("_s.v").alias("_v")
+        )
+        biggest = max(counts[c] for c in large)
+        found = _large(stacked.filter(F.col("_v").isNotNull()), ["_name"], "_v", probs, biggest, most).collect()
+        out.update({r["_name"]: list(r["quantiles"]) for r in found})
     return out

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, limit
 
-SINGLE_TASK_ROWS = 2_000_000
+SINGLE_TASK = "spark.glyco.ranking.singleTaskRows"
 BINS = 65_536
 
 
 def binned_index(
-    df: DataFrame, bin_on: Column, order: list[str], name: str = "rn", limit: int = SINGLE_TASK_ROWS
+    df: DataFrame, bin_on: Column, order: list[str], name: str = "rn", most: int | None = None
 ) -> tuple[DataFrame, int]:
     """Position (from 0) by ``order`` and the row count.
 
@@ -26,7 +26,7 @@ def binned_index(
     ).first()
     n = stats["n"]
     by = [F.col(c) for c in order]
-    if n <= limit:
+    if n <= (most or limit(df.sparkSession, SINGLE_TASK)):
         ranked = df.withColumn(name, F.row_number().over(Window.orderBy(*by)).cast("bigint") - 1)
         return ranked, n
     width = (stats["hi"] - stats["lo"]) // BINS + 1
@@ -96,16 +96,16 @@ def before(df: DataFrame, order: list[str], row: tuple | None) -> Column:
 
 
 def sorted_index(
-    df: DataFrame, order: list[str], name: str = "rn", limit: int = SINGLE_TASK_ROWS
+    df: DataFrame, order: list[str], name: str = "rn", most: int | None = None
 ) -> tuple[DataFrame, int]:
     """Position (from 0) for keys of any type, such as text ids.
 
-    Beyond ``limit`` rows the table is range-sorted and checkpointed, which pins
+    Beyond ``most`` rows the table is range-sorted and checkpointed, which pins
     its partitions; the count per partition then gives every partition its first
     position.
     """
     n = df.count()
-    if n <= limit:
+    if n <= (most or limit(df.sparkSession, SINGLE_TASK)):
         w = Window.orderBy(*[F.col(c) for c in order])
         return df.withColumn(name, F.row_number().over(w).cast("bigint") - 1), n
     checkpoint_dir(df.sparkSession)

@@ -25,8 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..schema import KEY, TIME, micros
-
-MAX_ROWS = 4_000_000
+from ..session import LIMITS, limit
 
 T_US, SLICE, COPY, WIDTH = "_t_us", "_slice", "_copy", "_width_us"
 
@@ -41,12 +40,13 @@ class Layout:
 
     key: str = KEY
     time: str = TIME
-    max_rows: int = MAX_ROWS
+    max_rows: int = LIMITS["spark.glyco.series.maxRows"]
     hot: tuple[tuple[object, int], ...] = ()
 
     @classmethod
-    def fit(cls, df: DataFrame, key: str = KEY, time: str = TIME, max_rows: int = MAX_ROWS) -> "Layout":
+    def fit(cls, df: DataFrame, key: str = KEY, time: str = TIME, max_rows: int | None = None) -> "Layout":
         """Count rows per series (map-side combined, two columns read) and size the slices."""
+        max_rows = max_rows or limit(df.sparkSession, "spark.glyco.series.maxRows")
         t = micros(time)
         long_series = (
             df.groupBy(key)

@@ -32,6 +32,19 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Sizes up to which one task may hold a series, a sorted table or a group of values.
+LIMITS = {
+    "spark.glyco.series.maxRows": 4_000_000,
+    "spark.glyco.ranking.singleTaskRows": 2_000_000,
+    "spark.glyco.quantiles.groupRows": 2_000_000,
+}
+
+
+def limit(spark: SparkSession, name: str) -> int:
+    """A size limit, from the session when it sets one."""
+    return int(spark.conf.get(name, str(LIMITS[name])))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the session.
 

@@ -86,6 +86,11 @@ def main(argv: list[str]) -> int:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("HOT"):  # force every large-series, large-table and large-group path
+        from glyco.session import LIMITS
+
+        for name in LIMITS:
+            spark.conf.set(name, os.environ["HOT"])
     con = connect(folder)
     oracle, failed = oracle_sql(), 0
     for name, func in queries().items():
