@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.series import T_US, Layout, Series
+from ..plans.series import T_US, Layout, Series, settle
 from ..schema import KEY, TIME, duration_us
 
 KEEP = ("last", "first", "most_complete")
@@ -72,7 +72,7 @@ def clean(
 ) -> DataFrame:
     """Exact duplicates, near duplicates and empty rows removed."""
     layout = layout or Layout.fit(df)
-    return drop_all_null_rows(dedupe_near(dedupe_exact(df), keep, tolerance, layout=layout, tie=tie))
+    return drop_all_null_rows(dedupe_near(settle(dedupe_exact(df), layout), keep, tolerance, layout=layout, tie=tie))
 
 
 def clean_stats(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
-from ..plans.series import T_US, Layout, Series
+from ..plans.series import T_US, Layout, Series, settle
 from ..schema import TARGET, TIME, duration_us
 from .impute import PAST
 
@@ -208,7 +208,7 @@ def time_since_event(df: DataFrame, *, layout: Layout | None = None) -> DataFram
     """Hours since the last meal, bolus and basal change; the current row counts."""
     layout = layout or Layout.fit(df)
     first = Series(df, layout, back_rows=1)
-    marked = first.close(first.df.withColumn("_basal", _basal_changed(first.window)))
+    marked = settle(first.close(first.df.withColumn("_basal", _basal_changed(first.window))), layout)
     meal, bolus, basal = F.col("FoodDelivered") > 0, F.col(BOLUS) > 0, F.col("_basal")
     s = Series(marked, layout, carry_back=[meal, bolus, basal])
     out = s.df.withColumns(
@@ -266,7 +266,7 @@ def insulin_ratios(df: DataFrame) -> DataFrame:
 def _filled(df: DataFrame, layout: Layout, column: str = TARGET) -> DataFrame:
     s = Series(df, layout, carry_back=[F.col(column).isNotNull()])
     value = F.last(column, ignorenulls=True).over(s.window.rowsBetween(*PAST))
-    return s.close(s.df.withColumn(column, value))
+    return settle(s.close(s.df.withColumn(column, value)), layout)
 
 
 def glucose_trends(df: DataFrame, *, layout: Layout | None = None) -> DataFrame:
@@ -363,8 +363,8 @@ def all_features(df: DataFrame, *, layout: Layout | None = None, mean: float | N
     layout = layout or Layout.fit(df)
     first = Series(df, layout, back_rows=1, carry_back=[F.col(TARGET).isNotNull()])
     value = F.last(TARGET, ignorenulls=True).over(first.window.rowsBetween(*PAST))
-    prepared = first.close(
-        first.df.withColumns({"_basal": _basal_changed(first.window), TARGET: value})
+    prepared = settle(
+        first.close(first.df.withColumns({"_basal": _basal_changed(first.window), TARGET: value})), layout
     )
     if mean is None:
         mean = prepared.agg(F.avg(TARGET)).first()[0]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.quantiles import quantiles
-from ..plans.series import T_US, Layout, Series, row_index
+from ..plans.series import T_US, Layout, Series, row_index, settle
 from ..schema import KEY, TIME, duration_us
 
 STRATEGIES = ("forward_fill", "interpolation", "median", "mean", "zero_fill", "drop")
@@ -64,7 +64,7 @@ def impute_interpolate(
         raise ValueError("mode must be position or time")
     layout = layout or Layout.fit(df)
     present = [F.col(c).isNotNull() for c in columns]
-    s = Series(row_index(df, layout, "_rn"), layout, carry_back=present, carry_ahead=present)
+    s = Series(settle(row_index(df, layout, "_rn"), layout), layout, carry_back=present, carry_ahead=present)
     past, future = s.window.rowsBetween(*PAST), s.window.rowsBetween(*FUTURE)
     wide = s.df.withColumns(
         {
@@ -172,9 +172,9 @@ def impute(
     if "zero_fill" in groups:
         out = impute_zero(out, groups["zero_fill"])
     if "interpolation" in groups:
-        out = impute_interpolate(out, groups["interpolation"], layout=layout)
+        out = impute_interpolate(settle(out, layout), groups["interpolation"], layout=layout)
     if "forward_fill" in groups:
-        out = impute_ffill(out, groups["forward_fill"], layout=layout)
+        out = impute_ffill(settle(out, layout), groups["forward_fill"], layout=layout)
     if "drop" in groups:
         out = impute_drop(out, groups["drop"])
     return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.quantiles import quantiles
-from ..plans.series import Layout, Series, row_index
+from ..plans.series import Layout, Series, row_index, settle
 from ..schema import CORE, KEY, TIME, VALUE_RANGES, numeric_columns
 
 
@@ -84,7 +84,7 @@ def longest_null_run(
     """
     columns = columns or numeric_columns(df)
     layout = layout or Layout.fit(df)
-    ranked = row_index(df.select(KEY, TIME, *columns), layout)
+    ranked = settle(row_index(df.select(KEY, TIME, *columns), layout), layout)
     s = Series(ranked, layout, carry_back=[F.col(c).isNotNull() for c in columns])
     before = s.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     runs = s.df.withColumns(

@@ -15,7 +15,8 @@ from ..operators.scaling import Scaler
 from ..operators.sequences import sliding_sequences
 from ..operators.splits import split
 from ..schema import KEY, MEASURES, TARGET, TIME
-from .series import Layout
+from ..session import checkpoint_dir
+from .series import Layout, settle
 
 
 def validate_dataset(df: DataFrame, method: str = "iqr", *, layout: Layout | None = None) -> DataFrame:
@@ -46,8 +47,8 @@ def preprocess(
 ) -> DataFrame:
     """Clean, impute, treat outliers, resample."""
     layout = layout or Layout.fit(df)
-    cleaned = clean(df, keep, tolerance, layout=layout, tie=tie)
-    filled = impute(cleaned, strategies, layout=layout)
+    cleaned = settle(clean(df, keep, tolerance, layout=layout, tie=tie), layout)
+    filled = settle(impute(cleaned, strategies, layout=layout), layout)
     measures = [c for c in MEASURES if c in df.columns]
     treated = treat_outliers(filled, measures, methods, treatment, settings)
     return resample(treated, freq)
@@ -66,11 +67,10 @@ def engineer_features(
     Fitting reads the features several times. ``checkpoint`` writes them to the
     session's checkpoint folder once instead of computing them for every pass.
     """
+    layout = layout or Layout.fit(df)
     features = X.all_features(df.filter(F.col(TIME).isNotNull()), layout=layout)
     if scaler is None:
-        if checkpoint:
-            from ..session import checkpoint_dir
-
+        if checkpoint or layout.hot:
             checkpoint_dir(df.sparkSession)
             features = features.checkpoint()
         scaler = Scaler.fit(features, X.ALL_FEATURES, kind)
@@ -92,7 +92,7 @@ def sequence_dataset(
     """Resample by name, build valid sequences, assign splits."""
     wanted = list(dict.fromkeys([KEY, TIME, *features, target]))
     layout = layout or Layout.fit(df)
-    regular = resample_by_name(df.select(*wanted), freq, max_gap, layout=layout)
+    regular = settle(resample_by_name(df.select(*wanted), freq, max_gap, layout=layout), layout)
     sequences = sliding_sequences(regular, features, target, steps, horizon, layout=layout)
     if strategy == "temporal":
         options = {"time": "seq_end", "order": ["seq_end", KEY], **options}

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..schema import KEY, TIME, micros
-from ..session import LIMITS, limit
+from ..session import LIMITS, checkpoint_dir, limit
 
 T_US, SLICE, COPY, WIDTH = "_t_us", "_slice", "_copy", "_width_us"
 
@@ -202,6 +202,18 @@ class Series:
         return df.drop(SLICE, COPY, *([] if self._timed else [T_US]), *drop)
 
 
+def settle(df: DataFrame, layout: Layout) -> DataFrame:
+    """Write an intermediate table to the checkpoint folder when series are sliced.
+
+    A sliced step reads its input several times, so a chain of them would repeat the
+    earlier steps over and over. Without slices nothing is written.
+    """
+    if not layout.hot:
+        return df
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def row_index(df: DataFrame, layout: Layout | None = None, name: str = "rn", **names: str) -> DataFrame:
     """Position (from 1) of every row in its series."""
     s = Series(df, layout, **names)
