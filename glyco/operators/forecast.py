@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..plans.ranking import before, binned_index, rows_at
 from ..plans.series import T_US, Layout, Series
 from ..schema import KEY, TARGET, micros
-from ..session import checkpoint_dir
+from ..session import write_through
 from .evaluate import glucose_metrics, regression_metrics
 from .splits import participant_cv_folds, timeseries_cv_bounds
 
@@ -95,10 +95,9 @@ def cross_validate(
 ) -> DataFrame:
     """``fold, n_train, metric, value``; folds run one after another, each fit is distributed.
 
-    Every fold reads the sequences several times, so they are checkpointed first.
+    Every fold reads the sequences several times, so they are written through the checkpoint folder.
     """
-    checkpoint_dir(sequences.sparkSession)
-    sequences = sequences.checkpoint()
+    sequences = write_through(sequences)
     parts = []
     if by == "participant":
         folded = participant_cv_folds(sequences, splits)
@@ -141,11 +140,10 @@ def walk_forward_evaluate(
     """Refit at every step on all earlier rows and predict the next ``horizon`` rows.
 
     Output: ``step, train_end, y_true, y_pred``. The number of fits is rows / step;
-    choose the step with the table's size. The numbered sequences are checkpointed.
+    choose the step with the table's size. The numbered sequences are written through the checkpoint folder.
     """
     ranked, n = binned_index(sequences, micros("seq_end"), ["seq_end", KEY], "_rn")
-    checkpoint_dir(sequences.sparkSession)
-    ranked = ranked.checkpoint()
+    ranked = write_through(ranked)
     out = None
     for number, end in enumerate(range(int(n * initial), n - horizon, step), start=1):
         model = forecast_fit(ranked.filter(F.col("_rn") < end), estimator)

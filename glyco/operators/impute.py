@@ -26,7 +26,6 @@ DEFAULT_STRATEGIES = {
 }
 
 PAST = (Window.unboundedPreceding, Window.currentRow)
-FUTURE = (Window.currentRow, Window.unboundedFollowing)
 
 
 def impute_ffill(df: DataFrame, columns: list[str], *, layout: Layout | None = None) -> DataFrame:
@@ -37,7 +36,7 @@ def impute_ffill(df: DataFrame, columns: list[str], *, layout: Layout | None = N
         {
             c: F.coalesce(
                 F.last(c, ignorenulls=True).over(s.window.rowsBetween(*PAST)),
-                F.first(c, ignorenulls=True).over(s.window.rowsBetween(*FUTURE)),
+                F.last(c, ignorenulls=True).over(s.reversed.rowsBetween(*PAST)),
             )
             for c in columns
         }
@@ -65,7 +64,7 @@ def impute_interpolate(
     layout = layout or Layout.fit(df)
     present = [F.col(c).isNotNull() for c in columns]
     s = Series(settle(row_index(df, layout, "_rn"), layout), layout, carry_back=present, carry_ahead=present)
-    past, future = s.window.rowsBetween(*PAST), s.window.rowsBetween(*FUTURE)
+    past, future = s.window.rowsBetween(*PAST), s.reversed.rowsBetween(*PAST)
     wide = s.df.withColumns(
         {
             name: value
@@ -73,7 +72,7 @@ def impute_interpolate(
             for known in [F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("_rn").alias("r"), F.col(T_US).alias("t")))]
             for name, value in (
                 (f"_lo_{c}", F.last(known, ignorenulls=True).over(past)),
-                (f"_hi_{c}", F.first(known, ignorenulls=True).over(future)),
+                (f"_hi_{c}", F.last(known, ignorenulls=True).over(future)),
             )
         }
     )

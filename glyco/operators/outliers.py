@@ -62,8 +62,12 @@ def outlier_mask(
     settings: dict[str, dict] | None = None,
     k: float = 1.5,
     z: float = 3.0,
+    cuts: dict[str, list] | None = None,
 ) -> DataFrame:
-    """``outlier_<column>`` is true where any method flags the value."""
+    """``outlier_<column>`` is true where any method flags the value.
+
+    ``cuts`` may bring the first and third quartile of the columns when they are known.
+    """
     columns = columns or numeric_columns(df)
     settings = settings or {}
     wanted = {c: tuple(settings.get(c, {}).get("detection_methods", methods)) for c in columns}
@@ -72,13 +76,14 @@ def outlier_mask(
         raise ValueError(f"unknown methods {sorted(unknown)}")
     by_iqr = [c for c in columns if "iqr" in wanted[c]]
     by_z = [c for c in columns if "zscore" in wanted[c]]
-    cuts = quantiles(df, by_iqr, [0.25, 0.75]) if by_iqr else {}
+    if cuts is None:
+        cuts = quantiles(df, by_iqr, [0.25, 0.75]) if by_iqr else {}
     stats = zscore_stats(df, by_z) if by_z else {}
     out = {}
     for c in columns:
         own = settings.get(c, {})
         tests: list[Column] = []
-        if c in cuts and cuts[c][0] is not None:
+        if c in by_iqr and cuts[c][0] is not None:
             a, b = cuts[c]
             width = own.get("iqr_multiplier", k) * (b - a)
             tests.append(_outside(c, a - width, b + width))
@@ -177,10 +182,11 @@ def treat_outliers(
     unknown = set(wanted.values()) - set(TREATMENTS)
     if unknown:
         raise ValueError(f"unknown treatments {sorted(unknown)}")
-    flagged = outlier_mask(df, columns, methods, settings)
-    clipped = [c for c in columns if wanted[c] in ("clip", "transform")]
+    # Quartiles for the detection and percentiles for the treatment in one pass.
+    all_cuts = quantiles(df, columns, [0.25, 0.75, 0.01, 0.99])
+    flagged = outlier_mask(df, columns, methods, settings, cuts={c: q[:2] for c, q in all_cuts.items()})
     tails = [c for c in columns if wanted[c] == "winsorize"]
-    p = quantiles(df, clipped, [0.01, 0.99]) if clipped else {}
+    p = {c: q[2:] for c, q in all_cuts.items()}
     shares = {c: (settings.get(c, {}).get("lower_percentile", 0.05), settings.get(c, {}).get("upper_percentile", 0.95)) for c in tails}
     for pair in set(shares.values()):
         p.update(quantiles(df, [c for c in tails if shares[c] == pair], list(pair)))

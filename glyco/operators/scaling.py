@@ -60,17 +60,24 @@ class Scaler:
                     # The median lies inside the bounds, so clipping does not move it.
                     bounds[c] = (q1 - CLIP_IQR * (q3 - q1), q3 + CLIP_IQR * (q3 - q1), q2)
         cleaned = data.select(*[_cleaned(F.col(c), *bounds[c]).alias(c) for c in names])
-        if kind == "standard":
-            row = cleaned.agg(
-                *[F.avg(c).alias(f"a_{c}") for c in names], *[F.stddev_pop(c).alias(f"b_{c}") for c in names]
-            ).first()
-            pairs = {c: (row[f"a_{c}"], row[f"b_{c}"]) for c in names}
-        elif kind == "minmax":
-            row = cleaned.agg(
-                *[F.min(c).alias(f"a_{c}") for c in names], *[F.max(c).alias(f"b_{c}") for c in names]
-            ).first()
+        if kind in ("standard", "minmax"):
+            # (column, value) rows keep the aggregation narrow however many columns there are.
+            cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in names])
+            stats = (
+                cleaned.select(F.explode(cells).alias("_s"))
+                .groupBy("_s.c")
+                .agg(
+                    F.avg("_s.v").alias("mean"),
+                    F.stddev_pop("_s.v").alias("deviation"),
+                    F.min("_s.v").alias("low"),
+                    F.max("_s.v").alias("high"),
+                )
+                .filter(F.col("mean").isNotNull())
+                .collect()
+            )
             pairs = {
-                c: (row[f"a_{c}"], row[f"b_{c}"] - row[f"a_{c}"]) for c in names if row[f"a_{c}"] is not None
+                r["c"]: (r["mean"], r["deviation"]) if kind == "standard" else (r["low"], r["high"] - r["low"])
+                for r in stats
             }
         else:
             after = quantiles(cleaned, names, [0.25, 0.5, 0.75]) if clean else cuts

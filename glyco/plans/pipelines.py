@@ -15,7 +15,7 @@ from ..operators.scaling import Scaler
 from ..operators.sequences import sliding_sequences
 from ..operators.splits import split
 from ..schema import KEY, MEASURES, TARGET, TIME
-from ..session import checkpoint_dir
+from ..session import write_through
 from .series import Layout, settle
 
 
@@ -45,10 +45,14 @@ def preprocess(
     layout: Layout | None = None,
     tie: list[str] | None = None,
 ) -> DataFrame:
-    """Clean, impute, treat outliers, resample."""
+    """Clean, impute, treat outliers, resample.
+
+    Fill values and outlier bounds are measured in several passes, so the cleaned and
+    the filled tables are written through the checkpoint folder.
+    """
     layout = layout or Layout.fit(df)
-    cleaned = settle(clean(df, keep, tolerance, layout=layout, tie=tie), layout)
-    filled = settle(impute(cleaned, strategies, layout=layout), layout)
+    cleaned = write_through(clean(df, keep, tolerance, layout=layout, tie=tie))
+    filled = write_through(impute(cleaned, strategies, layout=layout))
     measures = [c for c in MEASURES if c in df.columns]
     treated = treat_outliers(filled, measures, methods, treatment, settings)
     return resample(treated, freq)
@@ -60,19 +64,16 @@ def engineer_features(
     scaler: Scaler | None = None,
     *,
     layout: Layout | None = None,
-    checkpoint: bool = False,
 ) -> tuple[DataFrame, Scaler]:
     """The 54 features, scaled; give a fitted ``scaler`` to treat new data like the training data.
 
-    Fitting reads the features several times. ``checkpoint`` writes them to the
-    session's checkpoint folder once instead of computing them for every pass.
+    Fitting reads the features several times, so they are written through the
+    checkpoint folder instead of being computed for every pass.
     """
     layout = layout or Layout.fit(df)
     features = X.all_features(df.filter(F.col(TIME).isNotNull()), layout=layout)
     if scaler is None:
-        if checkpoint or layout.hot:
-            checkpoint_dir(df.sparkSession)
-            features = features.checkpoint()
+        features = write_through(features)
         scaler = Scaler.fit(features, X.ALL_FEATURES, kind)
     return scaler.transform(features), scaler
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..schema import KEY, TIME, micros
-from ..session import LIMITS, checkpoint_dir, limit
+from ..session import LIMITS, limit, write_through
 
 T_US, SLICE, COPY, WIDTH = "_t_us", "_slice", "_copy", "_width_us"
 
@@ -82,7 +82,12 @@ def _local(df: DataFrame, rows: list[tuple[object, int]], key: str, value: str)
 
 
 class Series:
-    """A frame prepared for window functions over each series in time order."""
+    """A frame prepared for window functions over each series in time order.
+
+    ``window`` runs forward in time. Look ahead with ``reversed`` and a frame that
+    ends at the current row: Spark evaluates a growing frame in one pass, but starts
+    a frame that reaches to the end of the series again for every row.
+    """
 
     def __init__(
         self,
@@ -109,6 +114,7 @@ class Series:
         if not layout.hot:
             self.df = df
             self.window: WindowSpec = Window.partitionBy(key).orderBy(*order)
+            self.reversed: WindowSpec = Window.partitionBy(key).orderBy(*[c.desc() for c in order])
             self._sliced = False
             return
         self._sliced = True
@@ -145,6 +151,7 @@ class Series:
             rows = rows.unionByName(both)
         self.df = rows.drop(WIDTH)
         self.window = Window.partitionBy(key, SLICE).orderBy(*order)
+        self.reversed = Window.partitionBy(key, SLICE).orderBy(*[c.desc() for c in order])
 
     def _neighbours(self, hot: DataFrame, n: int, conditions: list[Column], ahead: bool) -> DataFrame:
         """Rows of other slices that a slice needs, tagged with the slice that needs them."""
@@ -208,10 +215,7 @@ def settle(df: DataFrame, layout: Layout) -> DataFrame:
     A sliced step reads its input several times, so a chain of them would repeat the
     earlier steps over and over. Without slices nothing is written.
     """
-    if not layout.hot:
-        return df
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    return write_through(df) if layout.hot else df
 
 
 def row_index(df: DataFrame, layout: Layout | None = None, name: str = "rn", **names: str) -> DataFrame:

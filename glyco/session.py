@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -62,3 +63,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="glyco-ckpt-")
     sc.setCheckpointDir(named)
     return named
+
+
+def write_through(df: DataFrame) -> DataFrame:
+    """Write a table to the checkpoint folder as Parquet and read it back.
+
+    Cuts the lineage like ``checkpoint`` does, and later passes read only the columns
+    they need. The folder's owner removes old tables.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
