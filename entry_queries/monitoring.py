@@ -600,7 +600,7 @@ def skip_bad_files(spark, d):
 
 @query("file_integrity")
 def file_integrity(spark, d):
-    return S.file_integrity(spark, export(spark, d), "*.csv").select("length", "non_empty", "md5", "sha256")
+    return S.file_integrity(spark, export(spark, d), "*.csv").select("length", "md5", "sha256")
 
 
 @query("folder_hash")

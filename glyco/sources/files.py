@@ -99,11 +99,14 @@ def read_cgm_csv(spark: SparkSession, path: str, schema: T.StructType = CORE) ->
 
 
 def file_integrity(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Size, MD5 and SHA-256 of every file, and whether it is non-empty."""
+    """Size, MD5 and SHA-256 of every file.
+
+    Spark lists no empty files; :func:`verify_files` reports an expected file that is
+    empty or missing as not intact.
+    """
     return _files(spark, path, pattern).select(
         "path",
         "length",
-        (F.col("length") > 0).alias("non_empty"),
         F.md5("content").alias("md5"),
         F.sha2("content", 256).alias("sha256"),
     )
@@ -114,7 +117,7 @@ def verify_files(files: DataFrame, expected: DataFrame) -> DataFrame:
     return files.join(expected, "path", "full_outer").withColumn(
         "intact",
         F.coalesce(
-            F.col("non_empty")
+            F.col("md5").isNotNull()
             & (F.col("expected_hash").isNull() | F.col("expected_hash").isin(F.col("md5"), F.col("sha256"))),
             F.lit(False),
         ),
