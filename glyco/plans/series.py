@@ -139,9 +139,9 @@ class Series:
                 )
             )
         if back_rows or carry_back:
-            copies.append(self._neighbours(hot, back_rows, carry_back or [], ahead=False))
+            copies += self._neighbours(hot, back_rows, carry_back or [], ahead=False)
         if ahead_rows or carry_ahead:
-            copies.append(self._neighbours(hot, ahead_rows, carry_ahead or [], ahead=True))
+            copies += self._neighbours(hot, ahead_rows, carry_ahead or [], ahead=True)
         rows = rows.withColumn(COPY, F.lit(False))
         if copies:
             marked = [c.withColumn(COPY, F.lit(True)).select(rows.columns) for c in copies]
@@ -153,54 +153,53 @@ class Series:
         self.window = Window.partitionBy(key, SLICE).orderBy(*order)
         self.reversed = Window.partitionBy(key, SLICE).orderBy(*[c.desc() for c in order])
 
-    def _neighbours(self, hot: DataFrame, n: int, conditions: list[Column], ahead: bool) -> DataFrame:
+    def _neighbours(self, hot: DataFrame, n: int, conditions: list[Column], ahead: bool) -> list[DataFrame]:
         """Rows of other slices that a slice needs, tagged with the slice that needs them."""
         key = self._key
         names = [c for c in hot.columns if c != SLICE]
-        row = F.struct(*names)
-        nearest = [c.asc() if ahead else c.desc() for c in self._order]
-        edge = F.row_number().over(Window.partitionBy(key, SLICE).orderBy(*nearest))
         # Slices in the order in which they are met when walking towards the reader.
         walk = Window.partitionBy(key).orderBy(F.col(SLICE).desc() if ahead else F.col(SLICE).asc())
-        slices = hot.select(key, SLICE).distinct()
-        for i, condition in enumerate(conditions):
-            last = F.min_by if ahead else F.max_by
-            position = F.struct(*self._order)
-            found = (
-                hot.filter(condition)
-                .groupBy(key, SLICE)
-                .agg(last(row, position).alias(f"_c{i}"))
-                .withColumnRenamed(key, "_k")
-                .withColumnRenamed(SLICE, "_s")
-            )
-            slices = slices.join(
-                found, F.col(key).eqNullSafe(F.col("_k")) & (F.col(SLICE) == F.col("_s")), "left"
-            ).drop("_k", "_s")
-        if n:
-            tail = (
-                hot.withColumn("_edge", edge)
-                .filter(F.col("_edge") <= n)
-                .groupBy(key, SLICE)
-                .agg(F.array_sort(F.collect_list(F.struct("_edge", row.alias("_row")))).alias("_tail"))
-                .withColumnRenamed(key, "_k")
-                .withColumnRenamed(SLICE, "_s")
-            )
-            slices = slices.join(
-                tail, F.col(key).eqNullSafe(F.col("_k")) & (F.col(SLICE) == F.col("_s")), "left"
-            ).drop("_k", "_s")
         before = walk.rowsBetween(Window.unboundedPreceding, -1)
-        wanted = [
-            F.array_compact(F.array(F.last(F.col(f"_c{i}"), ignorenulls=True).over(before)))
-            for i in range(len(conditions))
-        ]
+        same_slice = F.col(key).eqNullSafe(F.col("_k")) & (F.col(SLICE) == F.col("_s"))
+        found = []
+        if conditions:
+            slices = hot.select(key, SLICE).distinct()
+            pick = F.min_by if ahead else F.max_by
+            for i, condition in enumerate(conditions):
+                newest = (
+                    hot.filter(condition)
+                    .groupBy(F.col(key).alias("_k"), F.col(SLICE).alias("_s"))
+                    .agg(pick(F.struct(*names), F.struct(*self._order)).alias(f"_c{i}"))
+                )
+                slices = slices.join(newest, same_slice, "left").drop("_k", "_s")
+            carried = [F.last(f"_c{i}", ignorenulls=True).over(before) for i in range(len(conditions))]
+            rows = slices.select(F.col(SLICE), F.array_distinct(F.array_compact(F.array(*carried))).alias("_all"))
+            found.append(rows.select(SLICE, F.explode("_all").alias("_r")).select(SLICE, "_r.*"))
         if n:
-            # Every slice has a row, so n rows are found within the last n slices.
-            recent = F.flatten(
-                F.reverse(F.collect_list("_tail").over(walk.rowsBetween(-n, -1)))
+            nearest = [c.asc() if ahead else c.desc() for c in self._order]
+            edge = F.row_number().over(Window.partitionBy(key, SLICE).orderBy(*nearest))
+            edges = hot.withColumn("_edge", edge).filter(F.col("_edge") <= n)
+            # Rows (at most n counted per slice) passed before a slice is met.
+            placed = (
+                edges.groupBy(key, SLICE)
+                .agg(F.count(F.lit(1)).alias("_size"))
+                .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+            )
+            # The slices met within reach; one, unless a slice holds fewer than n rows.
+            reach = Window.partitionBy(key).orderBy("_before").rangeBetween(1, 2 * n - 1)
+            readers = placed.select(
+                F.col(key).alias("_k"),
+                F.col(SLICE).alias("_s"),
+                (F.col("_before") + F.col("_size")).alias("_passed"),
+                F.collect_list(F.struct(F.col(SLICE).alias("s"), F.col("_before").alias("b"))).over(reach).alias("_readers"),
+            )
+            found.append(
+                edges.join(readers, same_slice)
+                .withColumn("_to", F.explode("_readers"))
+                .filter(F.col("_to.b") - F.col("_passed") + F.col("_edge") <= n)
+                .select(F.col("_to.s").alias(SLICE), *names)
             )
-            wanted.append(F.transform(F.slice(recent, 1, n), lambda x: x["_row"]))
-        found = slices.select(F.col(SLICE), F.array_distinct(F.concat(*wanted)).alias("_all"))
-        return found.select(SLICE, F.explode("_all").alias("_r")).select(SLICE, "_r.*")
+        return found
 
     def close(self, df: DataFrame, *drop: str) -> DataFrame:
         """Drop the copies and the helper columns."""
