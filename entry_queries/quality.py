@@ -123,7 +123,18 @@ def quality_score(spark, d):
     return rounded(Q.quality_score(load_cgm(spark, d).select(*KEYS)))
 
 
-@query("quality_recommendations")
+ALL_DUPS = f"(SELECT sum(n - 1)::BIGINT AS d, sum(n)::BIGINT AS t FROM (SELECT count(*) AS n FROM cgm GROUP BY {', '.join(ALL)}))"
+
+
+@query(
+    "quality_recommendations",
+    cgm_sql(
+        f"""SELECT 'missing_values' AS rule, 'impute ' || "column" || ': more than 20% missing' AS message FROM ({MISSING}) WHERE percentage > 20
+        UNION ALL SELECT 'duplicates', 'remove ' || d || ' duplicate records' FROM {ALL_DUPS} WHERE d > 0
+        UNION ALL SELECT 'low_score', 'clean the data: quality score below 70' FROM (SELECT avg(percentage) AS a FROM ({MISSING})), {ALL_DUPS}
+          WHERE 100 - least(a, 50) - least(d * 200.0::DOUBLE / t, 20) < 70"""
+    ),
+)
 def quality_recommendations(spark, d):
     return Q.quality_recommendations(load_cgm(spark, d))
 
