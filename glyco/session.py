@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -46,6 +48,27 @@ def limit(spark: SparkSession, name: str) -> int:
     return int(spark.conf.get(name, str(LIMITS[name])))
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession, packages: tuple[str, ...] = ("glyco",)) -> SparkSession:
+    """Send the library's source to the executors, once per application, so that Python workers can import it.
+
+    Not needed where the library is installed on every node or was passed with ``--py-files``. ``packages``
+    are folders beside this package.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        with tempfile.TemporaryDirectory() as folder:  # the driver only; Spark copies the archive when it is added
+            for package in packages:
+                shutil.copytree(f"{root}/{package}", f"{folder}/lib/{package}", ignore=shutil.ignore_patterns("__pycache__"))
+            archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="glyco-"), "glyco_lib"), "zip", f"{folder}/lib")
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(app)
+    return spark
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the session.
 
