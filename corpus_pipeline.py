@@ -1,4 +1,8 @@
-"""Corpus pipeline over ``documents``; each stage's table is written and read again by the next."""
+"""Corpus pipeline over ``documents``; each stage's table is written and read again by the next.
+
+Quality rules, exact and near de-duplication, mixing to target weights, packing. All stages but the last
+return the columns of ``documents``; the mixture repeats a document that it takes twice.
+"""
 
 from __future__ import annotations
 
@@ -6,26 +10,52 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyco.llm.exact import drop_exact
+from glyco.llm import exact, mixing, packing, quality, simhash
 from glyco.session import checkpoint_dir
 
-# The mixture and the buckets are fitted by dynamic programming, which SQL cannot state.
-ORACLE_SQL = None
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and consist of content lines."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return drop_exact(docs)
+    return exact.drop_exact(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group."""
+    return simhash.drop_near(docs)
+
 
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture takes them."""
+    return mixing.draw(docs)
 
-STAGES = [("exact dedup", exact_dedup)]
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences in length buckets and batches."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
+    ("mixing", mixture),
+    ("packing", packed),
+]
+
+# The line model, the fingerprints and both dynamic programmes are beyond SQL.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
-    for number, (name, stage) in enumerate(STAGES):
+    for number, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)

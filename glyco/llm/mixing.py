@@ -109,3 +109,25 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     rows = ranked.unionByName(planned.filter(~cut).withColumn("rank", F.lit(0).cast("long")))
     taken = F.col("size") * (F.col("whole") + (F.col("rank") < F.col("more")).cast("long"))
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+
+
+def draw(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` as often as ``mix`` takes them, with their columns.
+
+    A document without words is taken once if any word of its source is taken. Rows that share a doc_id,
+    source and size are told apart by their order, so each is drawn by a decision of its own.
+    """
+    marked = docs.withColumn("_size", word_count(F.col("text")))
+    told = mix(docs, **options)
+    times = F.when(F.col("size") > 0, F.col("taken") / F.greatest(F.col("size"), F.lit(1))).otherwise((F.col("target") > 0).cast("int")).cast("int")
+    # Repeated rows of a key are drawn together, their copies summed and dealt in turn.
+    key = ["doc_id", "source", "size"]
+    drawn = write_through(told.groupBy(*key).agg(F.sum(times).alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0"))
+    drawn = drawn.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), "_copies", "_rows")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words"))
+    joined = marked.join(drawn, same)
+    order = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
+    place = F.row_number().over(order) - 1
+    own = F.floor(F.col("_copies") / F.col("_rows")) + (place < F.col("_copies") % F.col("_rows")).cast("int")
+    dealt = joined.withColumn("_own", own.cast("int")).filter("_own > 0")
+    return dealt.withColumn("_take", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(*docs.columns)
