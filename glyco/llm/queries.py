@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyco.llm import chat, exact, licenses, mixing, packing, quality, simhash
+from glyco.llm import chat, exact, licenses, mixing, packing, pii, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -115,3 +115,16 @@ def op2_format_chats(spark: SparkSession, folder: str) -> DataFrame:
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """License detections in all documents."""
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query("op5_personal_data")
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in all documents."""
+    docs = table(spark, folder, "documents")
+    return pii.scan(docs, pii.fit(docs))
+
+
+@query("op10_secret_scan")
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secrets.scan(table(spark, folder, "documents"))
