@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyco.llm import chat, exact, licenses, mixing, packing, pii, quality, secrets, simhash
+from glyco.llm import chat, exact, licenses, mixing, packing, pii, quality, secrets, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -128,3 +128,9 @@ def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in all documents."""
     return secrets.scan(table(spark, folder, "documents"))
+
+
+@query("op8_repeated_passages")
+def op8_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of 50 words and more that documents share."""
+    return substrings.repeated_passages(table(spark, folder, "documents"))
