@@ -91,16 +91,25 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return told.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
 
 
-def first_rows(docs: DataFrame, keys: list[Column]) -> DataFrame:
-    """One row of each combination of ``keys``: the first in the order of all columns."""
-    order = Window.partitionBy(*keys).orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in docs.columns if docs.schema[c].dataType.typeName() != "map"])
-    return docs.withColumn("_row", F.row_number().over(order)).filter("_row = 1").drop("_row")
+def solid(doc_id: Column) -> Column:
+    """A doc_id that joins and partitions like any other when it is null."""
+    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)))
+
+
+def staying(docs: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` are in ``kept``, one for each: the first in the order of all columns.
+
+    Both sides are merged on the keys at any size, and the window works inside the same partitions, so
+    the texts move once.
+    """
+    columns = [c for c in docs.columns if c not in keys and docs.schema[c].dataType.typeName() not in ("map", "variant")]
+    order = Window.partitionBy(*keys).orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in columns])
+    met = docs.join(kept.hint("merge"), keys, "left_semi")
+    return met.withColumn("_row", F.row_number().over(order)).filter("_row = 1").drop("_row", *keys)
 
 
 def drop_exact(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
-    kept = exact_groups(docs, block_bytes).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_key", F.sha2(F.encode(ascii_lower(F.col("text")), "UTF-8"), 256))
-    same = marked["doc_id"].eqNullSafe(F.col("_id")) & (marked["_key"] == F.col("_sha"))
-    staying = marked.join(write_through(kept), same, "left_semi")
-    return first_rows(staying, [F.col("doc_id"), F.col("_key")]).drop("_key")
+    kept = exact_groups(docs, block_bytes).filter("kept").select(solid(F.col("doc_id")).alias("_id"), F.col("text_sha256").alias("_sha"))
+    marked = docs.withColumn("_id", solid(F.col("doc_id"))).withColumn("_sha", F.sha2(F.encode(ascii_lower(F.col("text")), "UTF-8"), 256))
+    return staying(marked, write_through(kept), ["_id", "_sha"])

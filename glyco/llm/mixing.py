@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyco.llm.exact import solid
 from glyco.llm.ranks import seeded_ranks
 from glyco.llm.text import word_count
 from glyco.session import write_through
@@ -117,17 +118,17 @@ def draw(docs: DataFrame, **options) -> DataFrame:
     A document without words is taken once if any word of its source is taken. Rows that share a doc_id,
     source and size are told apart by their order, so each is drawn by a decision of its own.
     """
-    marked = docs.withColumn("_size", word_count(F.col("text")))
     told = mix(docs, **options)
     times = F.when(F.col("size") > 0, F.col("taken") / F.greatest(F.col("size"), F.lit(1))).otherwise((F.col("target") > 0).cast("int")).cast("int")
+    source = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     # Repeated rows of a key are drawn together, their copies summed and dealt in turn.
-    key = ["doc_id", "source", "size"]
-    drawn = write_through(told.groupBy(*key).agg(F.sum(times).alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0"))
-    drawn = drawn.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), "_copies", "_rows")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words"))
-    joined = marked.join(drawn, same)
-    order = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
-    place = F.row_number().over(order) - 1
+    key = ["_id", "_source", "_size"]
+    named = told.select(solid(F.col("doc_id")).alias("_id"), source.alias("_source"), F.col("size").alias("_size"), times.alias("times"))
+    drawn = write_through(named.groupBy(*key).agg(F.sum("times").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0"))
+    marked = docs.withColumns({"_id": solid(F.col("doc_id")), "_source": source, "_size": word_count(F.col("text"))})
+    # Merged at any size: the window needs the same partitions, so the texts move once.
+    joined = marked.join(drawn.hint("merge"), key)
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("text")) - 1
     own = F.floor(F.col("_copies") / F.col("_rows")) + (place < F.col("_copies") % F.col("_rows")).cast("int")
     dealt = joined.withColumn("_own", own.cast("int")).filter("_own > 0")
     return dealt.withColumn("_take", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(*docs.columns)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyco.session import write_through
 
-SHARD_ROWS = 2_000
+SHARD_ROWS = 500
 
 
 def seeded_ranks(df: DataFrame, keys: list[str], ids: list[str], seed: int, shard_rows: int = SHARD_ROWS) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyco.llm.components import components
-from glyco.llm.exact import first_rows
+from glyco.llm.exact import solid, staying
 from glyco.session import write_through
 
 WIDTH = 4  # words of a shingle
@@ -214,6 +214,5 @@ def near_groups(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> Da
 def drop_near(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: the smallest doc_id of each group."""
     groups = near_groups(docs, width, radius)
-    kept = write_through(groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id")).distinct())
-    staying = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    return first_rows(staying, [F.col("doc_id")])
+    kept = groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(solid(F.col("doc_id")).alias("_id")).distinct()
+    return staying(docs.withColumn("_id", solid(F.col("doc_id"))), write_through(kept), ["_id"])
