@@ -21,10 +21,10 @@ WINDOW, STRIDE = 96, 48  # characters
 SAMPLE_DOCS = 200  # documents that training windows come from
 SAMPLE_WINDOWS = 4  # of each such document
 HIDDEN, EMBEDDED = 16, 12
-EPOCHS, BATCH, RATE = 12, 32, 0.02
+STEPS, BATCH, RATE = 600, 32, 0.02
 AREA = 4096  # characters of one Viterbi path
 HELD = 1 << 17  # characters scored before their scores are released
-SURE = 0.9  # least mean probability of a span's labels
+SURE = 0.8  # least mean probability of a span's labels
 SEED = 42
 
 # --- fixed rules ------------------------------------------------------------------------------------
@@ -200,23 +200,23 @@ def marginals(s: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.einsum("tbi,tbj->ij", left / norm[:, :, None], right) * moves
 
 
-def train(windows: list[str], spans: list[list[tuple[int, int, int]]], epochs: int = EPOCHS, seed: int = SEED) -> Tagger:
+def train(windows: list[str], spans: list[list[tuple[int, int, int]]], steps: int = STEPS, seed: int = SEED) -> Tagger:
     """A tagger of greatest likelihood by Adam; windows are padded with spaces to ``WINDOW``."""
     model, rng = Tagger.fresh(seed), np.random.default_rng(seed)
     codes = np.array([encode(w[:WINDOW].ljust(WINDOW)) for w in windows]).T
     labels = np.array([label(s, WINDOW) for s in spans]).T
     first, second = ({k: np.zeros_like(v) for k, v in model.p.items()} for _ in range(2))
-    n = 0
-    for epoch in range(epochs):
-        order = rng.permutation(codes.shape[1])
-        for at in range(0, len(order), BATCH):
-            chosen, n = order[at : at + BATCH], n + 1
-            rate = RATE * (1 - 0.9 * epoch / epochs)
-            for k, g in model.gradients(codes[:, chosen], labels[:, chosen]).items():
-                g = np.clip(g, -1, 1)
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.99 * second[k] + 0.01 * g * g
-                model.p[k] += rate * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.99**n)) + 1e-8)
+    order = np.zeros(0, np.int64)
+    for n in range(1, steps + 1):
+        if len(order) < BATCH:
+            order = np.concatenate((order, rng.permutation(codes.shape[1])))
+        chosen, order = order[:BATCH], order[BATCH:]
+        rate = RATE * (1 - 0.95 * n / steps)
+        for k, g in model.gradients(codes[:, chosen], labels[:, chosen]).items():
+            g = np.clip(g, -1, 1)
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.99 * second[k] + 0.01 * g * g
+            model.p[k] += rate * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.99**n)) + 1e-8)
     return model
 
 
@@ -251,10 +251,10 @@ def noise(rng: random.Random) -> str:
     return rng.choice([str(rng.randint(0, 9999)), f"Version {rng.randint(1, 9)}.{rng.randint(0, 9)}", f'token = "{hexed}"', hexed, f"{rng.randint(1, 99)}%", f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}", f"{rng.random() * 1000:.2f}", f"@{hexed[:6]}", str(rng.randint(10**5, 10**11))])
 
 
-def labelled(plain: list[str], found: list[tuple[str, list[tuple[int, int, int]]]], seed: int = SEED, more: int = 500) -> tuple[list[str], list[list[tuple[int, int, int]]]]:
+def labelled(plain: list[str], found: list[tuple[str, list[tuple[int, int, int]]]], seed: int = SEED, more: int = 1000) -> tuple[list[str], list[list[tuple[int, int, int]]]]:
     """Training windows: those of the corpus, and ``more`` with an invented value or noise set into plain text."""
     rng = random.Random(seed)
-    filler = plain or ["the quick brown fox, jumps over the lazy dog. " * 3]
+    filler = [*plain, "The quick brown fox, jumps over the lazy dog. " * 3]
     windows, spans = [w for w, _ in found], [s for _, s in found]
     for k in range(more):
         body, at = rng.choice(filler)[:WINDOW], rng.randint(0, 45)

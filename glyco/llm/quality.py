@@ -222,5 +222,6 @@ def assess(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, content
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
-    judged = assess(docs.select(*docs.columns), fit_model(docs, labels))
-    return judged.filter("kept").select(*docs.columns)
+    own = [c if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)]  # clashes with no added column
+    judged = assess(docs.toDF(*own), fit_model(docs, labels)).filter("kept")
+    return judged.select(*[F.col(o).alias(c) for o, c in zip(own, docs.columns)])
