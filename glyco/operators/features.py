@@ -20,7 +20,7 @@ INSULIN_WINDOWS = (("1h", "1 hour"), ("3h", "3 hours"), ("6h", "6 hours"))
 ROLLING_WINDOWS = (("30min", "30 minutes"), ("1h", "1 hour"), ("2h", "2 hours"))
 LAG_MINUTES = (5, 10, 15, 30, 45, 60, 90, 120)
 CADENCE_MINUTES = 5
-IOB_ROWS = 100
+IOB_ROWS = 100  # earlier rows that active insulin looks at by default
 
 Windows = tuple[tuple[str, str], ...]
 
@@ -64,7 +64,8 @@ def over_time(w: WindowSpec, length: str | int) -> WindowSpec:
 
 
 def _hours_since(w: WindowSpec, event: Column, default: float) -> Column:
-    last = F.last(F.when(event, F.col(T_US)), ignorenulls=True).over(w.rowsBetween(*PAST))
+    # Rows of equal time are peers, so their order does not matter.
+    last = F.max(F.when(event, F.col(T_US))).over(w.rangeBetween(*PAST))
     return F.coalesce((F.col(T_US) - last) / F.lit(HOUR_US), F.lit(default))
 
 
@@ -93,9 +94,15 @@ def _insulin_sums(w: WindowSpec, windows: Windows) -> dict[str, Column]:
     return out
 
 
-def _recent_boluses(w: WindowSpec) -> Column:
+def _bolus_reach(rows: int | None, duration: float) -> dict[str, int]:
+    return {"back_rows": rows} if rows else {"back_span": duration_us(f"{duration} minutes")}
+
+
+def _recent_boluses(w: WindowSpec, rows: int | None, duration: float) -> Column:
     given = F.when(F.col(BOLUS) > 0, F.struct(F.col(T_US).alias("t"), F.col(BOLUS).alias("u")))
-    return F.collect_list(given).over(w.rowsBetween(-IOB_ROWS, -1))
+    if rows is None:
+        return F.collect_list(given).over(w.rangeBetween(-duration_us(f"{duration} minutes"), -1))
+    return F.collect_list(given).over(w.rowsBetween(-rows, -1))
 
 
 def _active_sum(boluses: Column, fraction, duration: float) -> Column:
@@ -230,11 +237,11 @@ def rolling_insulin(
 
 
 def insulin_on_board(
-    df: DataFrame, duration: float = E.INSULIN_DURATION, *, layout: Layout | None = None
+    df: DataFrame, duration: float = E.INSULIN_DURATION, *, rows: int | None = IOB_ROWS, layout: Layout | None = None
 ) -> DataFrame:
-    """Units of the boluses in the previous 100 rows that still act."""
-    s = Series(df, layout, back_rows=IOB_ROWS)
-    boluses = s.df.withColumn("_b", _recent_boluses(s.window))
+    """Units of the boluses in the previous ``rows`` rows that still act; ``rows=None`` takes all within ``duration``."""
+    s = Series(df, layout, **_bolus_reach(rows, duration))
+    boluses = s.df.withColumn("_b", _recent_boluses(s.window, rows, duration))
     active = _active_sum(F.col("_b"), lambda m: E.decay_fraction(m, duration), duration)
     return s.close(boluses.withColumn("insulin_on_board", active), "_b")
 
@@ -244,11 +251,12 @@ def active_insulin_effect(
     duration: float = E.INSULIN_DURATION,
     peak: float = E.INSULIN_PEAK,
     *,
+    rows: int | None = IOB_ROWS,
     layout: Layout | None = None,
 ) -> DataFrame:
-    """Current effect of the boluses in the previous 100 rows."""
-    s = Series(df, layout, back_rows=IOB_ROWS)
-    boluses = s.df.withColumn("_b", _recent_boluses(s.window))
+    """Current effect of the boluses in the previous ``rows`` rows; ``rows=None`` takes all within ``duration``."""
+    s = Series(df, layout, **_bolus_reach(rows, duration))
+    boluses = s.df.withColumn("_b", _recent_boluses(s.window, rows, duration))
     active = _active_sum(F.col("_b"), lambda m: E.effect_fraction(m, duration, peak), duration)
     return s.close(boluses.withColumn("active_insulin_effect", active), "_b")
 
@@ -354,9 +362,13 @@ def rolling_stats(
     return s.close(s.df.withColumns(_rolling(s.window, column, windows, mean)))
 
 
-def all_features(df: DataFrame, *, layout: Layout | None = None, mean: float | None = None) -> DataFrame:
+def all_features(
+    df: DataFrame, *, layout: Layout | None = None, mean: float | None = None, iob_rows: int | None = IOB_ROWS
+) -> DataFrame:
     """The 54 features over two passes of the same ordering; glucose comes out forward-filled.
 
+    ``iob_rows`` limits how many earlier rows active insulin looks at, None to all within its duration.
+
     ``mean`` is the glucose mean used for readings without a past; it is measured
     when not given (give the training mean to features of other data).
     """
@@ -372,8 +384,8 @@ def all_features(df: DataFrame, *, layout: Layout | None = None, mean: float | N
     s = Series(
         prepared,
         layout,
-        back_rows=IOB_ROWS,
-        back_span=_longest(INSULIN_WINDOWS),
+        back_rows=iob_rows or 0,
+        back_span=max(_longest(INSULIN_WINDOWS), *_bolus_reach(None, E.INSULIN_DURATION).values()),
         carry_back=[meal, bolus, basal],
     )
     w = s.window
@@ -383,7 +395,7 @@ def all_features(df: DataFrame, *, layout: Layout | None = None, mean: float | N
             "time_since_last_meal": _hours_since(w, meal, EVENT_DEFAULTS["meal"]),
             "time_since_last_bolus": _hours_since(w, bolus, EVENT_DEFAULTS["bolus"]),
             "time_since_last_basal": _hours_since(w, basal, EVENT_DEFAULTS["basal"]),
-            "_b": _recent_boluses(w),
+            "_b": _recent_boluses(w, iob_rows, E.INSULIN_DURATION),
             **_insulin_sums(w, INSULIN_WINDOWS),
             **_glucose_changes(w),
             **_variability(w, INSULIN_WINDOWS),

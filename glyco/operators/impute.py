@@ -63,7 +63,7 @@ def impute_interpolate(
         raise ValueError("mode must be position or time")
     layout = layout or Layout.fit(df)
     present = [F.col(c).isNotNull() for c in columns]
-    s = Series(settle(row_index(df, layout, "_rn"), layout), layout, carry_back=present, carry_ahead=present)
+    s = Series(settle(row_index(df, layout, "_rn"), layout), layout, carry_back=present, carry_ahead=present, tie=["_rn"])
     past, future = s.window.rowsBetween(*PAST), s.reversed.rowsBetween(*PAST)
     wide = s.df.withColumns(
         {

@@ -162,7 +162,7 @@ def resample_by_name(
     time: str = TIME,
     layout: Layout | None = None,
 ) -> DataFrame:
-    """All bins of a series, aggregates chosen by column name, short gaps filled."""
+    """All bins of a series, aggregates chosen by column name, short gaps filled; ``layout`` is that of the grid."""
     values = [c for c in df.columns if c not in (key, time)]
     out = _resampled(df, freq, {c: aggregate_for(c) for c in values}, True, key, time)
     numeric = [c for c in values if isinstance(out.schema[c].dataType, T.NumericType)]

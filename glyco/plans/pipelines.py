@@ -90,11 +90,12 @@ def sequence_dataset(
     layout: Layout | None = None,
     **options,
 ) -> DataFrame:
-    """Resample by name, build valid sequences, assign splits."""
+    """Resample by name, build valid sequences, assign splits; ``layout`` is that of the resampled series."""
     wanted = list(dict.fromkeys([KEY, TIME, *features, target]))
-    layout = layout or Layout.fit(df)
-    regular = settle(resample_by_name(df.select(*wanted), freq, max_gap, layout=layout), layout)
-    sequences = sliding_sequences(regular, features, target, steps, horizon, layout=layout)
+    regular = resample_by_name(df.select(*wanted), freq, max_gap)
+    # The grid adds rows to sparse series, so its layout is measured on the grid.
+    grid = layout or Layout.fit(regular)
+    sequences = sliding_sequences(settle(regular, grid), features, target, steps, horizon, layout=grid)
     if strategy == "temporal":
         options = {"time": "seq_end", "order": ["seq_end", KEY], **options}
     return split(sequences, strategy, **options)

@@ -12,14 +12,15 @@ neighbouring rows its frames can reach:
                   (forward fill, time since event),
 * ``ahead_rows`` / ``carry_ahead`` the same after the slice.
 
-Copies are marked, take part in the frames and are dropped by ``close``. The
-result is the same as without slices, whatever the size of a series.
+For every row the slices that need it are listed once, so a row has at most one
+copy in a slice and equal rows stay as many as they are. Copies are marked, take
+part in the frames and are dropped by ``close``. The result is the same as without
+slices, whatever the size of a series.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -65,7 +66,7 @@ class Layout:
         widths = _local(df, bins, key, "_bin_us")
         densest = (
             df.select(key, t.alias(T_US))
-            .join(F.broadcast(widths), F.col(key).eqNullSafe(F.col("_k")))
+            .join(widths, F.col(key).eqNullSafe(F.col("_k")))
             .groupBy("_k", "_bin_us", F.floor(F.col(T_US) / F.col("_bin_us")).alias("b"))
             .count()
             .groupBy("_k", "_bin_us")
@@ -120,86 +121,81 @@ class Series:
         self._sliced = True
         self._key, self._order = key, order
         sized = [(k, max(w, back_span)) for k, w in layout.hot]
-        rows = df.join(
-            F.broadcast(_local(df, sized, key, WIDTH)),
-            F.col(key).eqNullSafe(F.col("_k")),
-            "left",
-        ).drop("_k")
-        rows = rows.withColumn(
-            SLICE, F.coalesce(F.floor(F.col(T_US) / F.col(WIDTH)), F.lit(0).cast("bigint"))
-        )
-        hot = rows.filter(F.col(WIDTH).isNotNull())
-        copies = []
+        rows = df.join(_local(df, sized, key, WIDTH), F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
+        rows = rows.withColumn(SLICE, F.coalesce(F.floor(F.col(T_US) / F.col(WIDTH)), F.lit(0).cast("bigint")))
+        sides = [(n, c or [], ahead) for n, c, ahead in ((back_rows, carry_back, False), (ahead_rows, carry_ahead, True)) if n or c]
+        names = df.columns
+        cold = rows.filter(F.col(WIDTH).isNull()).select(*names, SLICE, F.lit(False).alias(COPY))
+        hot = self._copied(rows.filter(F.col(WIDTH).isNotNull()), names, back_span, sides)
+        self.df = cold.unionByName(hot)
+        self.window = Window.partitionBy(key, SLICE).orderBy(*order)
+        self.reversed = Window.partitionBy(key, SLICE).orderBy(*[c.desc() for c in order])
+
+    def _copied(self, hot: DataFrame, names: list[str], back_span: int, sides: list[tuple[int, list[Column], bool]]) -> DataFrame:
+        """Each row in its own slice, and once in every other slice that needs it."""
+        key, none = self._key, F.array().cast("array<bigint>")
+        needed = []
         if back_span:
             # A row reaches into the next slice when the slice starts inside its span.
             reach = F.floor((F.col(T_US) + F.lit(back_span)) / F.col(WIDTH))
-            copies.append(
-                hot.filter(reach > F.col(SLICE)).withColumn(
-                    SLICE, F.explode(F.sequence(F.col(SLICE) + 1, reach))
+            needed.append(F.when(reach > F.col(SLICE), F.sequence(F.col(SLICE) + 1, reach)).otherwise(none))
+        rows = hot
+        for side, (n, conditions, ahead) in enumerate(sides):
+            nearest = [c.asc() if ahead else c.desc() for c in self._order]
+            places = {}
+            if n:
+                places[f"_edge{side}"] = F.row_number().over(Window.partitionBy(key, SLICE).orderBy(*nearest))
+                inside = F.filter(
+                    F.coalesce(f"_near{side}", F.array().cast("array<struct<s:bigint,b:bigint>>")),
+                    lambda r: r["b"] - F.col(f"_passed{side}") + F.col(f"_edge{side}") <= n,
                 )
-            )
-        if back_rows or carry_back:
-            copies += self._neighbours(hot, back_rows, carry_back or [], ahead=False)
-        if ahead_rows or carry_ahead:
-            copies += self._neighbours(hot, ahead_rows, carry_ahead or [], ahead=True)
-        rows = rows.withColumn(COPY, F.lit(False))
-        if copies:
-            marked = [c.withColumn(COPY, F.lit(True)).select(rows.columns) for c in copies]
-            both = reduce(DataFrame.unionByName, marked)
-            if len(copies) > 1:
-                both = both.dropDuplicates()
-            rows = rows.unionByName(both)
-        self.df = rows.drop(WIDTH)
-        self.window = Window.partitionBy(key, SLICE).orderBy(*order)
-        self.reversed = Window.partitionBy(key, SLICE).orderBy(*[c.desc() for c in order])
-
-    def _neighbours(self, hot: DataFrame, n: int, conditions: list[Column], ahead: bool) -> list[DataFrame]:
-        """Rows of other slices that a slice needs, tagged with the slice that needs them."""
+                needed.append(F.when(F.col(f"_edge{side}") <= n, F.transform(inside, lambda r: r["s"])).otherwise(none))
+            for i, condition in enumerate(conditions):
+                met = F.coalesce(condition, F.lit(False))
+                places[f"_met{side}_{i}"] = met & (F.row_number().over(Window.partitionBy(key, SLICE, met).orderBy(*nearest)) == 1)
+                needed.append(F.when(F.col(f"_met{side}_{i}"), F.coalesce(f"_to{side}_{i}", none)).otherwise(none))
+            plan = self._plan(hot, side, n, conditions, ahead)
+            same_slice = F.col(key).eqNullSafe(F.col("_k")) & (F.col(SLICE) == F.col("_s"))
+            rows = rows.withColumns(places).join(plan, same_slice, "left").drop("_k", "_s")
+        copies = F.array_distinct(F.concat(*needed)) if needed else none
+        own = F.struct(F.col(SLICE).alias("s"), F.lit(False).alias("c"))
+        every = F.concat(F.array(own), F.transform(copies, lambda s: F.struct(s.alias("s"), F.lit(True).alias("c"))))
+        return rows.withColumn("_in", F.explode(every)).select(*names, F.col("_in.s").alias(SLICE), F.col("_in.c").alias(COPY))
+
+    def _plan(self, hot: DataFrame, side: int, n: int, conditions: list[Column], ahead: bool) -> DataFrame:
+        """One row per slice: which other slices read its edge rows and its last row of each condition.
+
+        There are about rows / ``max_rows`` slices in all.
+        """
         key = self._key
-        names = [c for c in hot.columns if c != SLICE]
         # Slices in the order in which they are met when walking towards the reader.
-        walk = Window.partitionBy(key).orderBy(F.col(SLICE).desc() if ahead else F.col(SLICE).asc())
+        walk = Window.partitionBy("_k").orderBy(F.col("_s").desc() if ahead else F.col("_s").asc())
         before = walk.rowsBetween(Window.unboundedPreceding, -1)
-        same_slice = F.col(key).eqNullSafe(F.col("_k")) & (F.col(SLICE) == F.col("_s"))
-        found = []
-        if conditions:
-            slices = hot.select(key, SLICE).distinct()
-            pick = F.min_by if ahead else F.max_by
-            for i, condition in enumerate(conditions):
-                newest = (
-                    hot.filter(condition)
-                    .groupBy(F.col(key).alias("_k"), F.col(SLICE).alias("_s"))
-                    .agg(pick(F.struct(*names), F.struct(*self._order)).alias(f"_c{i}"))
-                )
-                slices = slices.join(newest, same_slice, "left").drop("_k", "_s")
-            carried = [F.last(f"_c{i}", ignorenulls=True).over(before) for i in range(len(conditions))]
-            rows = slices.select(F.col(SLICE), F.array_distinct(F.array_compact(F.array(*carried))).alias("_all"))
-            found.append(rows.select(SLICE, F.explode("_all").alias("_r")).select(SLICE, "_r.*"))
+        slices = hot.groupBy(F.col(key).alias("_k"), F.col(SLICE).alias("_s")).agg(
+            F.least(F.count(F.lit(1)), F.lit(n)).alias("_size"),
+            *[F.max(F.coalesce(c, F.lit(False))).alias(f"_holds{i}") for i, c in enumerate(conditions)],
+        )
+        sources = {f"_from{i}": F.last(F.when(F.col(f"_holds{i}"), F.col("_s")), ignorenulls=True).over(before) for i in range(len(conditions))}
+        placed = slices.withColumns({"_before": F.coalesce(F.sum("_size").over(before), F.lit(0)), **sources})
+        out = placed.select("_k", "_s")
         if n:
-            nearest = [c.asc() if ahead else c.desc() for c in self._order]
-            edge = F.row_number().over(Window.partitionBy(key, SLICE).orderBy(*nearest))
-            edges = hot.withColumn("_edge", edge).filter(F.col("_edge") <= n)
-            # Rows (at most n counted per slice) passed before a slice is met.
-            placed = (
-                edges.groupBy(key, SLICE)
-                .agg(F.count(F.lit(1)).alias("_size"))
-                .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-            )
-            # The slices met within reach; one, unless a slice holds fewer than n rows.
-            reach = Window.partitionBy(key).orderBy("_before").rangeBetween(1, 2 * n - 1)
-            readers = placed.select(
-                F.col(key).alias("_k"),
-                F.col(SLICE).alias("_s"),
-                (F.col("_before") + F.col("_size")).alias("_passed"),
-                F.collect_list(F.struct(F.col(SLICE).alias("s"), F.col("_before").alias("b"))).over(reach).alias("_readers"),
+            # Rows (at most n counted per slice) passed before a slice is met. The slices met within
+            # reach: one, unless a slice holds fewer than n rows.
+            reach = Window.partitionBy("_k").orderBy("_before").rangeBetween(1, 2 * n - 1)
+            out = placed.select(
+                "_k",
+                "_s",
+                (F.col("_before") + F.col("_size")).alias(f"_passed{side}"),
+                F.collect_list(F.struct(F.col("_s").alias("s"), F.col("_before").alias("b"))).over(reach).alias(f"_near{side}"),
             )
-            found.append(
-                edges.join(readers, same_slice)
-                .withColumn("_to", F.explode("_readers"))
-                .filter(F.col("_to.b") - F.col("_passed") + F.col("_edge") <= n)
-                .select(F.col("_to.s").alias(SLICE), *names)
+        for i in range(len(conditions)):
+            readers = (
+                placed.filter(F.col(f"_from{i}").isNotNull())
+                .groupBy(F.col("_k").alias("_rk"), F.col(f"_from{i}").alias("_rs"))
+                .agg(F.collect_list("_s").alias(f"_to{side}_{i}"))
             )
-        return found
+            out = out.join(readers, F.col("_k").eqNullSafe(F.col("_rk")) & (F.col("_s") == F.col("_rs")), "left").drop("_rk", "_rs")
+        return out
 
     def close(self, df: DataFrame, *drop: str) -> DataFrame:
         """Drop the copies and the helper columns."""

@@ -56,6 +56,36 @@ def test_sliced_equals_plain(readings, sliced, name):
     frames_equal(run(readings, Layout()), run(readings, sliced))
 
 
+@pytest.fixture(scope="module")
+def repeated(readings):
+    """Exact repeats and rows of equal time, next to each other and at slice edges."""
+    third = readings.filter(F.col("event_id") % 3 == 0)
+    fifth = readings.filter(F.col("event_id") % 5 == 0)
+    return readings.unionByName(third).unionByName(fifth).unionByName(fifth).cache()
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_sliced_equals_plain_on_repeated_rows(repeated, name):
+    layout = Layout.fit(repeated, max_rows=15)
+    assert len(layout.hot) == 15
+    run = OPERATORS[name]
+
+    def tidy(df):
+        pdf = df.toPandas()
+        keys = pdf.select_dtypes("number").round(4)
+        return pdf.loc[keys.sort_values(sorted(keys.columns)).index, sorted(pdf.columns)].reset_index(drop=True)
+
+    pd.testing.assert_frame_equal(tidy(run(repeated, Layout())), tidy(run(repeated, layout)), check_exact=False, rtol=1e-9, atol=1e-6)
+
+
+def test_sequences_of_repeated_rows(repeated):
+    def rows(layout):
+        seqs = S.sliding_sequences(repeated, ["CGM"], steps=3, only_valid=False, layout=layout)
+        return sorted(map(str, seqs.withColumn("x", F.to_json("x")).collect()))
+
+    assert rows(Layout()) == rows(Layout.fit(repeated, max_rows=15))
+
+
 def test_sliced_sequences(readings, sliced):
     def flat(layout):
         seqs = S.sliding_sequences(readings, ["CGM"], steps=3, only_valid=False, layout=layout)
