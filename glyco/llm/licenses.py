@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,10 +60,10 @@ FAMILIES = (
     ("x11", ("x11", "x consortium"), ()),
     ("isc", ("isc", "internet systems consortium"), ()),
     ("zlib", ("zlib", "zlib libpng"), ()),
-    ("bsd 2 clause", ("(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)",), ()),
-    ("bsd 3 clause", ("(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)",), ()),
-    ("bsd 4 clause", ("(?:bsd 4 clause|4 clause bsd|original bsd)",), ()),
-    ("bsd", ("(?:berkeley software distribution|bsd)",), ()),
+    ("bsd 2 clause", ("bsd 2 clause", "2 clause bsd", "simplified bsd", "freebsd"), ()),
+    ("bsd 3 clause", ("bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd", "revised bsd"), ()),
+    ("bsd 4 clause", ("bsd 4 clause", "4 clause bsd", "original bsd"), ()),
+    ("bsd", ("berkeley software distribution", "bsd"), ()),
     ("ncsa", ("(?:university of illinois )?ncsa(?: open source)?",), ()),
     ("openssl", ("openssl", "ssleay"), ()),
     ("postgresql", ("postgresql",), ()),
@@ -94,28 +97,36 @@ SIGNATURES = (
     ("noncommercial", 1, "commercial", "(?:for )?non ?commercial use only"),
 )
 LEVELS = 4  # priorities 0 to 3
+RULE_TABLE = "array<struct<first:string, second:string, rules:array<struct<rule:int, label:string, priority:int, pattern:string>>>>"
+
+
+def literal(pattern: str) -> str:
+    """The longest text that every match of a name pattern holds."""
+    fixed = re.sub(r"\(\?:[^()]*\)\?", "|", pattern)  # optional groups
+    fixed = re.sub(r"\(\?:[^()]*\)|.\?", "|", fixed)  # alternatives and optional letters
+    return max((part.strip() for part in fixed.split("|")), key=len)
 
 
-def rules() -> list[tuple[str, int, str, str]]:
-    """(label, priority, keyword, pattern), most specific forms first.
+def rules() -> list[tuple[str, int, str, str, str]]:
+    """(label, priority, keyword, second keyword, pattern), most specific forms first.
 
     Each family name gives its bare license name, the notice that grants it, its identifier tag, and all
-    of them with each version. A keyword is a substring of every text that its pattern matches.
+    of them with each version. Both keywords are substrings of every text that the pattern matches.
     """
-    made = list(SIGNATURES)
+    made = [(label, priority, keyword, keyword, pattern) for label, priority, keyword, pattern in SIGNATURES]
     for label, names, versions in FAMILIES:
-        name = f"(?:{'|'.join(names)})"
-        called = f"{name}(?: public)? licen[cs]e"
-        made.append((label, 0, "licen", called))
-        made.append((label, 2, "licen", f"(?:licen[cs]ed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?{called}"))
-        made.append((label, 3, "spdx", f"spdx license identifier {name}"))
-        for v in versions:
-            major, minor = v.split(" ")
-            number = f"{major}(?: {minor})?" if minor == "0" else v
-            labelled = f"{label} {v}"
-            made.append((labelled, 1, "licen", f"{called}(?: version| v)? {number}"))
-            made.append((labelled, 2, "licen", f"licen[cs]ed under (?:the )?{called}(?: version| v)? {number}"))
-            made.append((labelled, 3, "spdx", f"spdx license identifier {name} {number}"))
+        for name in names:
+            key, called = literal(name), f"{name}(?: public)? licen[cs]e"
+            made.append((label, 0, "licen", key, called))
+            made.append((label, 2, "licen", key, f"(?:licen[cs]ed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?{called}"))
+            made.append((label, 3, "spdx", key, f"spdx license identifier {name}"))
+            for v in versions:
+                major, minor = v.split(" ")
+                number = f"{major}(?: {minor})?" if minor == "0" else v
+                labelled = f"{label} {v}"
+                made.append((labelled, 1, "licen", key, f"{called}(?: version| v)? {number}"))
+                made.append((labelled, 2, "licen", key, f"licen[cs]ed under (?:the )?{called}(?: version| v)? {number}"))
+                made.append((labelled, 3, "spdx", key, f"spdx license identifier {name} {number}"))
     return made
 
 
@@ -126,9 +137,9 @@ def _spaces(text: Column) -> Column:
 def _places(words: Column, pattern: Column) -> Column:
     """(start, end) in words of every match of a pattern in `` w0 w1 ... ``."""
     bound = F.concat(F.lit("(?<= )(?:"), pattern, F.lit(")(?= )"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
     gaps, hits = F.split(words, bound, -1), F.regexp_extract_all(words, bound, F.lit(0))
     steps = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
-    none = F.array().cast("array<struct<start:int,end:int>>")
     begin = F.struct(F.lit(-1).alias("at"), none.alias("found"))
 
     def step(state: Column, x: Column) -> Column:
@@ -136,7 +147,7 @@ def _places(words: Column, pattern: Column) -> Column:
         end = start + _spaces(x["hit"])
         return F.struct(end.alias("at"), F.array_append(state["found"], F.struct(start.alias("start"), (end + 1).alias("end"))).alias("found"))
 
-    return F.aggregate(steps, begin, step, lambda s: s["found"])
+    return F.when(F.rlike(words, bound), F.aggregate(steps, begin, step, lambda s: s["found"])).otherwise(none)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -150,27 +161,31 @@ def scan(docs: DataFrame) -> DataFrame:
     texts have no words, no labels and score 0; repeated rows get equal answers; an empty table gives no
     rows; other columns are ignored.
     """
-    known = rules()
-    base = [(label, LEVELS - 1, "licen", phrase) for phrase, label in BASE]
-    table = [*base, *known]
-    keywords = sorted({k for _, _, k, _ in table})
-    text = F.lower(whole(F.col("text")))
-    gate = F.contains(text, F.lit(keywords[0]))
+    table = [(label, LEVELS - 1, "licen", phrase, phrase) for phrase, label in BASE] + rules()
+    base = len(BASE)
+    text = docs.select("doc_id", "text", F.lower(whole(F.col("text"))).alias("low"))
+    keywords = sorted({k for _, _, k, _, _ in table})
+    gate = F.contains("low", F.lit(keywords[0]))
     for k in keywords[1:]:
-        gate = gate | F.contains(text, F.lit(k))
+        gate = gate | F.contains("low", F.lit(k))
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(F.col("text")), NOT_WORD, " ")), F.lit(" "))
-    sized = docs.select("doc_id", F.regexp_count(whole(F.col("text")), F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"), F.when(gate, words).alias("words"))
-    literal = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(k).alias("keyword"), F.lit(x).alias("pattern")) for i, (label, p, k, x) in enumerate(table)])
-    gated = F.filter(literal, lambda r: F.contains(F.col("words"), r["keyword"]))
+    sized = text.select("doc_id", F.regexp_count(whole(F.col("text")), F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"), F.when(gate, words).alias("words"))
+    # Rules with the same keywords stand together, so that a text is searched for each keyword once.
+    groups: dict[tuple[str, str], list] = {}
+    for i, (label, priority, first, second, pattern) in enumerate(table):
+        groups.setdefault((first, second), []).append({"rule": i, "label": label, "priority": priority, "pattern": pattern})
+    text_form = json.dumps([{"first": a, "second": b, "rules": r} for (a, b), r in groups.items()])
+    listed = F.from_json(F.lit(text_form), RULE_TABLE)  # folded into a constant
+    gated = F.flatten(F.filter(listed, lambda g: F.contains(F.col("words"), g["first"]) & F.contains(F.col("words"), g["second"]))["rules"])
     found = F.flatten(F.transform(gated, lambda r: F.transform(_places(F.col("words"), r["pattern"]), lambda p: F.struct(p["start"].alias("start"), (-p["end"]).alias("end"), (-r["priority"]).alias("priority"), r["rule"].alias("rule"), r["label"].alias("label")))))
     hits = sized.select("doc_id", "n_words", F.when(F.col("words").isNotNull(), F.sort_array(found)).alias("hits"))
-    own = F.coalesce(F.filter("hits", lambda h: h["rule"] < len(base)), F.array().cast("array<struct<start:int,end:int,priority:int,rule:int,label:string>>"))
+    own = F.coalesce(F.filter("hits", lambda h: h["rule"] < base), F.array().cast("array<struct<start:int,end:int,priority:int,rule:int,label:string>>"))
     begin = F.struct(F.array(*[F.lit(-1)] * LEVELS).alias("ends"), F.array().cast("array<string>").alias("labels"), F.lit(0).alias("to"), F.lit(0).alias("covered"))
 
     def step(state: Column, h: Column) -> Column:
         end, level = -h["end"], -h["priority"]
         inside = F.exists(F.slice(state["ends"], level + 1, F.lit(LEVELS)), lambda e: e >= end)
-        drop = inside & (h["rule"] >= len(base))
+        drop = inside & (h["rule"] >= base)
         ends = F.transform(state["ends"], lambda e, i: F.when(i == level, F.greatest(e, end)).otherwise(e))
         new = F.greatest(F.lit(0), end - F.greatest(h["start"], state["to"]))
         return F.struct(
