@@ -17,10 +17,10 @@ CONTEXT_TITLE = "Previous conversation:"
 
 
 def conversation_history(messages: DataFrame, last: int | None = 10) -> DataFrame:
-    """The newest ``last`` messages of every conversation with their position."""
+    """The newest ``last`` messages of every conversation; of one turn the last by role and text."""
     if last is None:
         return messages
-    newest = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    newest = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("text")))
     return messages.withColumn("_r", newest).filter(F.col("_r") <= last).drop("_r")
 
 
@@ -28,7 +28,7 @@ def conversation_context(messages: DataFrame, last: int = 10) -> DataFrame:
     """The newest messages as one text per conversation."""
     speaker = F.when(F.col("role") == "user", "User").otherwise("Assistant")
     line = F.concat(speaker, F.lit(": "), F.col("text"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"])
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text", line.alias("line")))), lambda x: x["line"])
     # At most ``last`` messages per conversation are gathered.
     return (
         conversation_history(messages, last)

@@ -60,8 +60,11 @@ def daily_missing(df: DataFrame, column: str = TARGET) -> DataFrame:
     )
 
 
-def daily_missing_matrix(df: DataFrame, days: list, column: str = TARGET) -> DataFrame:
-    """One row per participant and one column per listed day."""
+def daily_missing_matrix(df: DataFrame, days: list | None = None, column: str = TARGET) -> DataFrame:
+    """One row per participant and one column per listed day; by default every day of the table."""
+    if days is None:
+        found = df.select(F.to_date(TIME).alias("d")).filter("d is not null").distinct()
+        days = sorted(r.d for r in found.collect())  # one value per calendar day
     return (
         df.groupBy(KEY)
         .agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..plans.ranking import before, binned_index, rows_at
 from ..plans.series import T_US, Layout, Series
 from ..schema import KEY, TARGET, micros
-from ..session import write_through
+from ..session import checkpoint_dir, write_through
 from .evaluate import glucose_metrics, regression_metrics
 from .splits import participant_cv_folds, timeseries_cv_bounds
 
@@ -139,22 +140,24 @@ def walk_forward_evaluate(
 ) -> DataFrame:
     """Refit at every step on all earlier rows and predict the next ``horizon`` rows.
 
-    Output: ``step, train_end, y_true, y_pred``. The number of fits is rows / step;
-    choose the step with the table's size. The numbered sequences are written through the checkpoint folder.
+    Output: ``step, train_end, y_true, y_pred``; with ``horizon=step`` every row after the start is
+    predicted, the last step with what is left. The number of fits is rows / step; choose the step with
+    the table's size. The numbered sequences and the predictions are written through the checkpoint folder.
     """
     ranked, n = binned_index(sequences, micros("seq_end"), ["seq_end", KEY], "_rn")
     ranked = write_through(ranked)
-    out = None
-    for number, end in enumerate(range(int(n * initial), n - horizon, step), start=1):
+    starts = range(max(1, int(n * initial)), n, step)
+    if not starts:
+        raise ValueError("too few rows for one step")
+    path = f"{checkpoint_dir(sequences.sparkSession)}/walk-{uuid.uuid4()}"
+    for number, end in enumerate(starts, start=1):
         model = forecast_fit(ranked.filter(F.col("_rn") < end), estimator)
         test = ranked.filter((F.col("_rn") >= end) & (F.col("_rn") < end + horizon))
         rows = forecast_predict(model, test).select(
             F.lit(number).alias("step"), F.lit(end).cast("bigint").alias("train_end"), "y_true", "y_pred"
         )
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        raise ValueError("too few rows for one step")
-    return out
+        rows.write.mode("append").parquet(path)
+    return sequences.sparkSession.read.parquet(path)
 
 
 def score_with(

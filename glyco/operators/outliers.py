@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.quantiles import quantiles
 from ..schema import numeric_columns
@@ -310,20 +311,30 @@ class IsolationForest:
 
     @classmethod
     def fit(
-        cls, df: DataFrame, columns: list[str], trees: int = 100, sample: int = 256, seed: int = 42
+        cls,
+        df: DataFrame,
+        columns: list[str],
+        trees: int = 100,
+        sample: int = 256,
+        seed: int = 42,
+        key: list[str] | None = None,
     ) -> "IsolationForest":
-        """Grow each tree on ``sample`` complete rows drawn by hash rank (the method's own sampling)."""
-        rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-        total = rows.count()
-        # Thin a large table first, still leaving many times the rows the trees use.
-        draw = min(1.0, 4.0 * trees * sample / max(total, 1))
-        candidates = rows.withColumn("_salt", F.rand(seed)).filter(F.col("_salt") < draw)
-        spread = candidates.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        rank = F.row_number().over(
-            Window.partitionBy("tree").orderBy(F.xxhash64("tree", "_salt", *columns))
-        )
-        drawn = spread.withColumn("_r", rank).filter(F.col("_r") <= sample)
+        """Grow each tree on ``sample`` complete rows of lowest hash (the method's own sampling).
+
+        A row's hash covers the tree, the seed and ``key`` (all columns by default), so the draw does not
+        depend on partitions. Only rows that a tree may take leave the scan: those whose hash is
+        below a bound that all but surely leaves ``sample`` rows or more.
+        """
         names = list(columns)
+        ids = key or [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+        rows = df.select(*[F.col(c).cast("double").alias(c) for c in names], F.xxhash64(F.lit(seed), *[F.col(c) for c in ids]).alias("_row")).dropna(subset=names)
+        total = rows.count()
+        share = min(1.0, (sample + 10 * math.sqrt(sample) + 20) / max(total, 1))
+        draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.shiftrightunsigned(F.xxhash64(t, F.col("_row")), 11).alias("rank")))
+        taken = F.filter(draws, lambda x: x["rank"] <= F.lit(int(share * (1 << 53))))
+        spread = rows.select(*names, F.explode(taken).alias("_d")).select("_d.*", *names)
+        order = Window.partitionBy("tree").orderBy("rank", *names)
+        drawn = spread.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= sample)
 
         def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
             tree = int(key[0])

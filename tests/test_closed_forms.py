@@ -214,3 +214,24 @@ def test_isolation_forest_finds_far_values(spark):
 def test_overall_score_skips_missing_parts(spark):
     row = spark.range(1).select(V.overall_score(F.lit(15.0), F.lit(50.0), F.lit(None).cast("double")).alias("s")).first()
     assert row["s"] == pytest.approx((50.0 + 15.0) / 2)
+
+
+def test_isolation_forest_does_not_depend_on_partitions(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(20_000).select("id", (F.pmod(F.xxhash64("id"), F.lit(1000)) / 10.0).alias("CGM"))
+    found = []
+    for n in (3, 7, 50):
+        flagged = O.IsolationForest.fit(df.repartition(n), ["CGM"], trees=20, key=["id"]).flag(df.repartition(n))
+        found.append(sorted(r.id for r in flagged.filter("is_outlier").collect()))
+    assert found[0] == found[1] == found[2] and found[0]
+
+
+def test_active_insulin_can_look_back_by_time_alone(spark):
+    import datetime
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(1, start + datetime.timedelta(minutes=k), 1.0) for k in range(300)]
+    df = spark.createDataFrame(rows, "participant_id long, EventDateTime timestamp_ntz, TotalBolusInsulinDelivered double")
+    last = lambda n: X.insulin_on_board(df, rows=n).orderBy("EventDateTime").collect()[-1].insulin_on_board
+    assert last(None) == pytest.approx(last(300)) and last(None) > last(100)
