@@ -13,9 +13,9 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ranking import before, binned_index, rows_at
+from ..plans.ranking import before, rows_at, sorted_index
 from ..plans.series import T_US, Layout, Series
-from ..schema import KEY, TARGET, micros
+from ..schema import KEY, TARGET
 from ..session import checkpoint_dir, write_through
 from .evaluate import glucose_metrics, regression_metrics
 from .splits import participant_cv_folds, timeseries_cv_bounds
@@ -106,10 +106,12 @@ def cross_validate(
             parts.append((fold, folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)))
     elif by == "time":
         order = ["seq_end", KEY]
-        n = sequences.count()
-        bounds = timeseries_cv_bounds(n, splits, test_size)
-        positions = sorted({p for _, *edges in bounds for p in edges})
-        cuts = dict(zip(positions, rows_at(sequences, micros("seq_end"), order, positions)[0]))
+
+        def edges_of(n: int) -> list[int]:
+            return sorted({p for _, *edges in timeseries_cv_bounds(n, splits, test_size) for p in edges})
+
+        found, n = rows_at(sequences, order, edges_of)
+        bounds, cuts = timeseries_cv_bounds(n, splits, test_size), dict(zip(edges_of(n), found))
         for fold, lo, hi, start, end in bounds:
 
             def within(a: int, b: int) -> DataFrame:
@@ -144,7 +146,7 @@ def walk_forward_evaluate(
     predicted, the last step with what is left. The number of fits is rows / step; choose the step with
     the table's size. The numbered sequences and the predictions are written through the checkpoint folder.
     """
-    ranked, n = binned_index(sequences, micros("seq_end"), ["seq_end", KEY], "_rn")
+    ranked, n = sorted_index(sequences, ["seq_end", KEY], "_rn")
     ranked = write_through(ranked)
     starts = range(max(1, int(n * initial)), n, step)
     if not starts:

@@ -1,7 +1,7 @@
 """Train, validation and test assignment; cross-validation folds.
 
 Positions over the whole table come from :mod:`glyco.plans.ranking`, so no split
-sorts the table in one task. Time splits only look up the rows at the cuts.
+sorts the table in one task. Time splits only look up the rows at the cuts; ``order`` must start with the time.
 """
 
 from __future__ import annotations
@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ranking import before, binned_index, rows_at, sorted_index
-from ..schema import KEY, micros
+from ..plans.ranking import before, rows_at, sorted_index
+from ..schema import KEY
 
 SPLITS = ("train", "val", "test")
 
@@ -29,8 +29,7 @@ def participant_ranks(df: DataFrame, seed: int = 42, key: str = KEY) -> tuple[Da
     people = df.select(key).distinct()
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     hashed = people.withColumn("_h", digest)
-    leading = F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint")
-    ranked, n = binned_index(hashed, leading, ["_h"], "_rank")
+    ranked, n = sorted_index(hashed, ["_h", key], "_rank")
     return ranked.drop("_h"), n
 
 
@@ -53,8 +52,7 @@ def split_by_time(
 ) -> DataFrame:
     """Column ``split`` by position in time; ``order`` is the full, unique order (time first)."""
     _check_ratios(train, val, test)
-    n = df.count()
-    (first, second), _ = rows_at(df, micros(time), order, [int(n * train), int(n * (train + val))])
+    (first, second), _ = rows_at(df, order, lambda n: [int(n * train), int(n * (train + val))])
     name = F.when(before(df, order, first), "train").when(before(df, order, second), "val").otherwise("test")
     return df.withColumn("split", name)
 
@@ -83,8 +81,7 @@ def split_info(df: DataFrame, target: str = "y") -> DataFrame:
 
 def train_val_split_rows(df: DataFrame, time: str, order: list[str], validation: float = 0.2) -> DataFrame:
     """The last rows in time become validation rows."""
-    n = df.count()
-    (cut,), _ = rows_at(df, micros(time), order, [n - int(n * validation)])
+    (cut,), _ = rows_at(df, order, lambda n: [n - int(n * validation)])
     return df.withColumn("split", F.when(before(df, order, cut), "train").otherwise("val"))
 
 
@@ -124,10 +121,11 @@ def timeseries_cv_folds(
     max_train_size: int | None = None,
 ) -> DataFrame:
     """One row per input row, fold and role (``train`` or ``test``)."""
-    n = df.count()
-    bounds = timeseries_cv_bounds(n, splits, test_size, gap, max_train_size)
-    positions = sorted({p for _, *edges in bounds for p in edges})
-    cuts, _ = rows_at(df, micros(time), order, positions)
+    def edges_of(n: int) -> list[int]:
+        return sorted({p for _, *edges in timeseries_cv_bounds(n, splits, test_size, gap, max_train_size) for p in edges})
+
+    cuts, n = rows_at(df, order, edges_of)
+    bounds, positions = timeseries_cv_bounds(n, splits, test_size, gap, max_train_size), edges_of(n)
     passed = {p: ~before(df, order, row) for p, row in zip(positions, cuts)}
 
     def between(start: int, end: int) -> Column:
@@ -162,7 +160,7 @@ def walk_forward_folds(
 
     The step of a row follows from its position, so no fold table is joined.
     """
-    ranked, n = binned_index(df, micros(time), order, "_rn")
+    ranked, n = sorted_index(df, order, "_rn")
     start = int(n * initial)
     since = F.col("_rn") - F.lit(start)
     span = F.explode(F.sequence(F.greatest(F.floor((since - (horizon - 1) + (step - 1)) / step), F.lit(0)), F.floor(since / step)))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..session import limit
 
 GROUP_ROWS = "spark.glyco.quantiles.groupRows"
+CELLS = "spark.glyco.quantiles.cells"
 ACCURACY = 10_000
 GRID = 1_000
 KEPT = 0.006  # share of the rows a round keeps: grid step and sketch error on both sides
@@ -29,11 +30,11 @@ def same(left: list[str], right: list[str]) -> Column:
 
 
 def _lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join a per-group table; it has at most rows/limit groups, so it is broadcast."""
+    """Join a table with a row per group; Spark broadcasts it when it is small."""
     other = [f"_b{i}" for i in range(len(keys))]
     values = [c for c in table.columns if c not in keys]
     renamed = table.select(*[F.col(k).alias(o) for k, o in zip(keys, other)], *values)
-    return rows.join(F.broadcast(renamed), same(keys, other), how).drop(*other)
+    return rows.join(renamed, same(keys, other), how).drop(*other)
 
 
 def _narrow(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -115,23 +116,27 @@ def group_quantiles(
 def quantiles(
     df: DataFrame, columns: list[str], probs: list[float], most: int | None = None
 ) -> dict[str, list[float | None]]:
-    """Exact quantiles of whole columns as plain numbers (a fit, like ``approxQuantile``)."""
-    most = most or limit(df.sparkSession, GROUP_ROWS)
-    at = F.array(*[F.lit(float(p)) for p in probs])
+    """Exact quantiles of whole columns as plain numbers (a fit, like ``approxQuantile``).
+
+    Columns become (column, value) rows, so the columns are worked on side by side. Up to a budget of cells
+    in all, each column is one group of an exact percentile; beyond it large columns are narrowed first.
+    """
+    cells = most or limit(df.sparkSession, CELLS)
     counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    small = [c for c in columns if counts[c] <= most]
-    out: dict[str, list[float | None]] = {}
-    if small:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), at).alias(c) for c in small]).first()
-        out = {c: list(row[c] or [None] * len(probs)) for c in small}
-    large = [c for c in columns if c not in small]
+    each = cells if sum(counts) <= cells else cells // len(columns)
+    stacked = _stacked(df, [c for c in columns if counts[c] <= each])
+    at = F.array(*[F.lit(float(p)) for p in probs])
+    found = stacked.groupBy("_name").agg(F.percentile("_v", at).alias("quantiles")).collect()  # one row per column
+    large = [c for c in columns if counts[c] > each]
     if large:
-        # All large columns in one pass, as (column, value) rows.
-        cells = [F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in large]
-        stacked = df.select(F.explode(F.array(*cells)).alias("_s")).select(
-            F.col("_s.c").alias("_name"), F.col("_s.v").alias("_v")
-        )
         biggest = max(counts[c] for c in large)
-        found = _large(stacked.filter(F.col("_v").isNotNull()), ["_name"], "_v", probs, biggest, most).collect()
-        out.update({r["_name"]: list(r["quantiles"]) for r in found})
-    return out
+        found += _large(_stacked(df, large), ["_name"], "_v", probs, biggest, max(each, 1)).collect()
+    known = {r["_name"]: list(r["quantiles"]) for r in found}
+    return {c: known.get(c, [None] * len(probs)) for c in columns}
+
+
+def _stacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    if not columns:
+        return df.sparkSession.createDataFrame([], "_name string, _v double")
+    pairs = [F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_v")) for c in columns]
+    return df.select(F.inline(F.array(*pairs))).filter(F.col("_v").isNotNull())

@@ -2,89 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, limit
-
-SINGLE_TASK = "spark.glyco.ranking.singleTaskRows"
-BINS = 65_536
+from ..session import write_through
 
 
-def binned_index(
-    df: DataFrame, bin_on: Column, order: list[str], name: str = "rn", most: int | None = None
-) -> tuple[DataFrame, int]:
+def sorted_index(df: DataFrame, order: list[str], name: str = "rn") -> tuple[DataFrame, int]:
     """Position (from 0) by ``order`` and the row count.
 
-    ``bin_on`` is a whole-number expression that never decreases along ``order``
-    (time in microseconds, say). The table is cut into at most 65 536 equal bins;
-    the count per bin gives each bin its first position and rows are numbered
-    inside their bin. The bin table is bounded, so it is broadcast.
+    The table is range-sorted by all columns of ``order``: Spark draws the range bounds from the rows, so
+    neither a few wrong clocks nor many rows of equal time fill one task, as long as the order is unique.
+    It is written before use, which pins the partitions; the count of each partition gives the next its
+    first position.
     """
-    stats = df.select(bin_on.alias("b")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi")
-    ).first()
-    n = stats["n"]
-    by = [F.col(c) for c in order]
-    if n <= (most or limit(df.sparkSession, SINGLE_TASK)):
-        ranked = df.withColumn(name, F.row_number().over(Window.orderBy(*by)).cast("bigint") - 1)
-        return ranked, n
-    width = (stats["hi"] - stats["lo"]) // BINS + 1
-    binned = df.withColumn("_b", F.floor((bin_on - F.lit(stats["lo"])) / F.lit(width)))
-    offsets = (
-        binned.groupBy("_b")
-        .count()
-        .withColumn("_off", F.sum("count").over(Window.orderBy("_b")) - F.col("count"))
-        .select("_b", "_off")
-    )
-    local = F.row_number().over(Window.partitionBy("_b").orderBy(*by)).cast("bigint") - 1
-    ranked = (
-        binned.withColumn(name, local)
-        .join(F.broadcast(offsets), "_b")
-        .withColumn(name, F.col(name) + F.col("_off"))
-        .drop("_b", "_off")
-    )
-    return ranked, n
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = df.orderBy(*[F.col(c) for c in order])
+    pinned = write_through(ordered.withColumns({"_p": F.spark_partition_id(), "_i": place}))
+    before_it = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    firsts = pinned.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(before_it), F.lit(0)).alias("_off"))
+    ranked = pinned.join(firsts, "_p").withColumn(name, F.col("_i") + F.col("_off")).drop("_p", "_i", "_off")
+    return ranked, pinned.count()
 
 
-def rows_at(df: DataFrame, bin_on: Column, order: list[str], positions: list[int]) -> tuple[list, int]:
+def rows_at(df: DataFrame, order: list[str], positions: Callable[[int], list[int]]) -> tuple[list, int]:
     """The ``order`` values of the rows at some positions (from 0), and the row count.
 
-    Only the bins that hold a wanted position are sorted; the table itself is read,
-    counted and never shuffled. A position at or past the end gives ``None``.
+    ``positions`` gets the row count. Only the columns of ``order`` are sorted. A position at or past the
+    end gives ``None``.
     """
-    stats = df.select(bin_on.alias("b")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi")
-    ).first()
-    n = stats["n"]
-    inside = [p for p in positions if p < n]
-    if not inside:
-        return [None] * len(positions), n
-    width = (stats["hi"] - stats["lo"]) // BINS + 1
-    binned = df.select(
-        F.floor((bin_on - F.lit(stats["lo"])) / F.lit(width)).alias("_b"), *[F.col(c) for c in order]
-    )
-    # At most BINS + 1 counts reach the driver.
-    counts = sorted((r["_b"], r["count"]) for r in binned.groupBy("_b").count().collect())
-    home: dict[int, tuple[int, int]] = {}
-    first = 0
-    for b, count in counts:
-        for p in inside:
-            if first <= p < first + count:
-                home[p] = (b, p - first)
-        first += count
-    wanted = F.lit(False)
-    for b, offset in home.values():
-        wanted = wanted | ((F.col("_b") == b) & (F.col("_i") == offset + 1))
-    local = F.row_number().over(Window.partitionBy("_b").orderBy(*[F.col(c) for c in order]))
-    found = (
-        binned.filter(F.col("_b").isin(sorted({b for b, _ in home.values()})))
-        .withColumn("_i", local)
-        .filter(wanted)
-        .collect()
-    )
-    at = {(r["_b"], r["_i"] - 1): tuple(r[c] for c in order) for r in found}
-    return [at[home[p]] if p in home else None for p in positions], n
+    ranked, n = sorted_index(df.select(*order), order, "_rn")
+    wanted = positions(n)
+    inside = sorted({p for p in wanted if 0 <= p < n})
+    found = ranked.filter(F.col("_rn").isin(inside)).collect() if inside else []
+    at = {r["_rn"]: tuple(r[c] for c in order) for r in found}
+    return [at.get(p) for p in wanted], n
 
 
 def before(df: DataFrame, order: list[str], row: tuple | None) -> Column:
@@ -93,37 +47,3 @@ def before(df: DataFrame, order: list[str], row: tuple | None) -> Column:
         return F.lit(True)
     bounds = [F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, row)]
     return F.struct(*[F.col(c) for c in order]) < F.struct(*bounds)
-
-
-def sorted_index(
-    df: DataFrame, order: list[str], name: str = "rn", most: int | None = None
-) -> tuple[DataFrame, int]:
-    """Position (from 0) for keys of any type, such as text ids.
-
-    Beyond ``most`` rows the table is range-sorted and checkpointed, which pins
-    its partitions; the count per partition then gives every partition its first
-    position.
-    """
-    n = df.count()
-    if n <= (most or limit(df.sparkSession, SINGLE_TASK)):
-        w = Window.orderBy(*[F.col(c) for c in order])
-        return df.withColumn(name, F.row_number().over(w).cast("bigint") - 1), n
-    checkpoint_dir(df.sparkSession)
-    pinned = (
-        df.orderBy(*order)
-        .checkpoint()
-        .withColumn("_p", F.spark_partition_id())
-        .withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    )
-    first = (
-        pinned.groupBy("_p")
-        .count()
-        .withColumn("_off", F.sum("count").over(Window.orderBy("_p")) - F.col("count"))
-        .select("_p", "_off")
-    )
-    ranked = (
-        pinned.join(F.broadcast(first), "_p")
-        .withColumn(name, F.col("_i") + F.col("_off"))
-        .drop("_p", "_i", "_off")
-    )
-    return ranked, n

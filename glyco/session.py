@@ -35,11 +35,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-# Sizes up to which one task may hold a series, a sorted table or a group of values.
+# Sizes up to which one task may hold a series or a group of values, and all tasks the cells of a table.
 LIMITS = {
     "spark.glyco.series.maxRows": 4_000_000,
-    "spark.glyco.ranking.singleTaskRows": 2_000_000,
     "spark.glyco.quantiles.groupRows": 2_000_000,
+    "spark.glyco.quantiles.cells": 6_000_000,
 }
 
 

@@ -12,9 +12,8 @@ from glyco.operators import forecast as M
 from glyco.operators import impute as I
 from glyco.operators import sequences as S
 from glyco.plans.quantiles import group_quantiles, quantiles
-from glyco.plans.ranking import binned_index, rows_at, sorted_index
+from glyco.plans.ranking import rows_at, sorted_index
 from glyco.plans.series import Layout, row_index
-from glyco.schema import micros
 
 IDS = ["event_id"]
 UNCACHED = "/root/testdata/sf0.01"  # the smallest table is cached by a fixture
@@ -127,14 +126,35 @@ def test_group_quantiles_bracketed(readings):
 def test_positions(readings):
     df = readings.select("event_id", "EventDateTime")
     order = ["EventDateTime", "event_id"]
-    plain = binned_index(df, micros(), order)[0]
-    frames_equal(plain, binned_index(df, micros(), order, most=10)[0])
-    frames_equal(plain, sorted_index(df, order, most=10)[0])
-    rows, n = rows_at(df, micros(), order, [0, 17, 999, 1000])
     ordered = [tuple(r) for r in df.orderBy(*order).select(*order).collect()]
+    ranked, n = sorted_index(df, order)
+    assert n == 1000 and sorted((r.rn, r.EventDateTime, r.event_id) for r in ranked.collect()) == [(k, *r) for k, r in enumerate(ordered)]
+    rows, n = rows_at(df, order, lambda n: [0, 17, n - 1, n])
     assert n == 1000 and rows == [ordered[0], ordered[17], ordered[999], None]
 
 
+def test_wrong_clocks_and_ties_fill_no_partition(spark):
+    """Two far times and many rows of one time must not gather in one task."""
+    day = F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.when(F.col("id") % 2 == 0, F.col("id") * 1000).otherwise(0))
+    far = F.when(F.col("id") == 1, F.lit("1970-01-01").cast("timestamp")).when(F.col("id") == 3, F.lit("2099-01-01").cast("timestamp"))
+    df = spark.range(200_000).select("id", F.coalesce(far, day).alias("t"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        held = df.orderBy("t", "id").withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert max(r["count"] for r in held) < 200_000 / 4
+    rows, n = rows_at(df, ["t", "id"], lambda n: [0, n - 1])
+    assert [r[1] for r in rows] == [1, 3]
+
+
+def test_many_columns_share_the_cell_budget(readings):
+    wide = readings.select(*[(F.col("CGM") + k).alias(f"c{k}") for k in range(54)])
+    plain, narrow = quantiles(wide, wide.columns, [0.25, 0.75]), quantiles(wide, wide.columns, [0.25, 0.75], most=54 * 10)
+    for c in wide.columns:
+        assert narrow[c] == pytest.approx(plain[c], rel=1e-12)
+
+
 def test_partition_count_does_not_matter(spark, readings):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     many = X.rolling_stats(readings, layout=Layout()).toPandas()
