@@ -19,7 +19,7 @@ from glyco.sources import files as S
 from glyco.sources import sinks as K
 from glyco.sources.events import load_cgm, load_pairs
 
-from .base import cgm_sql, query, r, rounded
+from .base import CGM, PAIRS, cgm_sql, query, r, rounded
 
 W = "PARTITION BY participant_id ORDER BY EventDateTime"
 IN = "(CGM BETWEEN 70 AND 180)::INT::DOUBLE"
@@ -263,11 +263,13 @@ def validate_request(spark, d):
     "request_features",
     f"""WITH {TIMELINE} SELECT subject_id, make_timestamp(span * 432000000000) AS span_start, {r("avg(value) FILTER (WHERE type = 'glucose')", "mean_glucose")},
     {r("stddev_pop(value) FILTER (WHERE type = 'glucose')", "std_glucose")}, {r("coalesce(sum(value) FILTER (WHERE type = 'carbohydrate'), 0)", "total_carbs")},
-    {r("coalesce(sum(value) FILTER (WHERE type = 'insulin'), 0)", "total_insulin")} FROM timeline GROUP BY subject_id, span""",
+    {r("coalesce(sum(value) FILTER (WHERE type = 'insulin'), 0)", "total_insulin")},
+    {r("(span * 432000000000 % 86400000000) / 3600000000.0::DOUBLE", "first_hour")}, {r("(span * 432000000000 % 86400000000) / 3600000000.0::DOUBLE + 55 / 60.0::DOUBLE", "last_hour")}
+    FROM timeline GROUP BY subject_id, span""",
 )
 def request_features(spark, d):
-    out = Q.request_features(requests(spark, d))
-    return rounded(out.select("subject_id", "span_start", "mean_glucose", "std_glucose", "total_carbs", "total_insulin"))
+    out = Q.request_features(requests(spark, d)).withColumns({"first_hour": F.element_at("hours", 1), "last_hour": F.element_at("hours", -1)})
+    return rounded(out.select("subject_id", "span_start", "mean_glucose", "std_glucose", "total_carbs", "total_insulin", "first_hour", "last_hour"))
 
 
 # --- conversations -------------------------------------------------------------------
@@ -558,6 +560,78 @@ def compare_models(spark, d):
     return rounded(G.compare_models(metrics, 1, 2))
 
 
+@query(
+    "compare_model_info",
+    f"""WITH m AS (SELECT user_id AS version, count(*) AS total_parameters, count(DISTINCT event_type) AS trainable_parameters, count(DISTINCT ts::DATE) AS epochs_trained,
+          epoch(max(ts)) - epoch(min(ts)) AS training_duration_seconds FROM events WHERE user_id IN (1, 2) GROUP BY user_id)
+        SELECT * FROM (VALUES {", ".join(f"""('{s}', '{i}', {', '.join(f"round(coalesce((SELECT {i} FROM m WHERE version = {v}), 0)::DOUBLE, 6)" for v in (1, 2))})""" for s, i in (("architecture", "total_parameters"), ("architecture", "trainable_parameters"), ("training", "epochs_trained"), ("training", "training_duration_seconds")))}) t(section, item, model1, model2)""",
+)
+def compare_model_info(spark, d):
+    prepare(spark)
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    models = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("version")).agg(
+        F.count(F.lit(1)).alias("total_parameters"),
+        F.count_distinct("event_type").alias("trainable_parameters"),
+        F.count_distinct(F.to_date("ts")).alias("epochs_trained"),
+        (F.max(seconds) - F.min(seconds)).alias("training_duration_seconds"),
+    )
+    return rounded(G.compare_model_info(models, 1, 2))
+
+
+@query(
+    "comprehensive_metrics_training",
+    "WITH " + CGM + ", " + PAIRS + ", " + LOGS + f""", runs AS (SELECT run_id, count(*) FILTER (WHERE metric = 'loss') AS training_total_epochs,
+        min(value) FILTER (WHERE metric = 'val_loss') AS training_best_val_loss FROM logs GROUP BY run_id)
+        SELECT participant_id, {r('avg(abs(y_true - y_pred))', 'regression_mae')}, any_value(training_total_epochs) AS training_total_epochs, {r('any_value(training_best_val_loss)', 'training_best_val_loss')}
+        FROM pairs LEFT JOIN runs ON participant_id = run_id GROUP BY participant_id""",
+)
+def comprehensive_metrics_training(spark, d):
+    from glyco.operators.evaluate import comprehensive_metrics
+
+    out = comprehensive_metrics(load_pairs(spark, d), by=["participant_id"], training=G.training_summary(logs(spark, d)))
+    return rounded(out.select("participant_id", "regression_mae", "training_total_epochs", "training_best_val_loss"))
+
+
+def registry_folder(spark, d):
+    """Users as models, their days as versions with the day's mean value as loss: one registry file per model, in the shared folder."""
+    daily = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id", F.dayofmonth("ts").alias("day")).agg(F.avg("value").alias("loss"), F.min("ts").alias("ts"))
+    info = F.struct(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
+        F.create_map(F.lit("loss"), F.col("loss")).alias("performance"),
+        F.lit("").alias("description"),
+        F.array(F.lit("daily")).alias("tags"),
+    )
+    version = F.concat(F.lit("1."), F.col("day").cast("string"), F.lit(".0"))
+    models = daily.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct(version, info))).alias("v"))
+    text = F.to_json(F.create_map(F.concat(F.lit("user_"), F.col("user_id").cast("string")), F.col("v")))
+    path = f"{checkpoint_dir(spark)}/registry-{uuid.uuid4()}"
+    models.select(text.alias("value")).repartition(8).write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query(
+    "read_registry",
+    f"""SELECT 'user_' || user_id AS model, '1.' || day(ts) || '.0' AS version, {r('avg(value)', 'loss')} FROM events GROUP BY user_id, day(ts)""",
+)
+def read_registry(spark, d):
+    prepare(spark)
+    versions = G.read_registry(spark, registry_folder(spark, d))
+    return rounded(versions.select("model", "version", F.try_element_at("performance", F.lit("loss")).alias("loss")))
+
+
+@query("read_run_logs", f"""SELECT 'run_' || user_id AS run_id, day(ts)::BIGINT AS epoch, {r('avg(value)', 'value')} FROM events GROUP BY user_id, day(ts)""")
+def read_run_logs(spark, d):
+    prepare(spark)
+    daily = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id", F.dayofmonth("ts").alias("epoch")).agg(F.avg("value").alias("loss"), F.min("ts").alias("ts"))
+    entry = F.struct(F.col("epoch"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.col("loss"))
+    runs = daily.groupBy("user_id").agg(F.sort_array(F.collect_list(entry)).alias("history"))
+    named = runs.select(F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("run_id"), F.lit("completed").alias("status"), "history")
+    path = f"{checkpoint_dir(spark)}/runs-{uuid.uuid4()}"
+    named.repartition(8).write.option("maxRecordsPerFile", 1).json(path)
+    logs_ = G.read_run_logs(spark, path).filter("metric = 'loss'")
+    return rounded(logs_.select("run_id", F.col("epoch").cast("bigint").alias("epoch"), "value"))
+
+
 # --- files: the tables are first exported, then read back by the source under test ----
 
 

@@ -292,12 +292,14 @@ def validate_for_sequences(spark, d):
     "sequence_recommendations",
     cgm_sql(
         f"""SELECT "check", count(*) AS n_issues, CASE "check" WHEN 'gaps' THEN '{S.ADVICE["gaps"]}' WHEN 'target' THEN '{S.ADVICE["target"]}'
-            ELSE '{S.ADVICE["length"]}' END AS recommendation FROM ({ISSUES}) GROUP BY "check" """,
+            ELSE '{S.ADVICE["length"]}' END AS recommendation FROM ({ISSUES}) GROUP BY "check"
+            UNION ALL SELECT 'records', 1::BIGINT, '{S.ADVICE["records"]}' FROM (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM cgm GROUP BY participant_id)) WHERE m < 50""",
         GAPS,
     ),
 )
 def sequence_recommendations(spark, d):
-    return S.sequence_recommendations(S.validate_for_sequences(load_cgm(spark, d), max_gap="12 hours", min_rows=60))
+    df = load_cgm(spark, d)
+    return S.sequence_recommendations(S.validate_for_sequences(df, max_gap="12 hours", min_rows=60), S.series_statistics(df))
 
 
 # --- splits --------------------------------------------------------------------------

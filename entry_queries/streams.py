@@ -134,3 +134,20 @@ def stream_time_since_event(spark, d):
         "participant_id", *zoneless("EventDateTime"), "time_since_last_meal", "time_since_last_bolus", "time_since_last_basal", "insulin_on_board",
     )
     return rounded(out)
+
+
+DAY_US = 24 * 3_600_000_000
+
+
+@query(
+    "stream_uptime_alerts",
+    cgm_sql(
+        f"""SELECT participant_id AS subject_id, make_timestamp((b + 1) * {DAY_US}) AS "at", {r('v', 'value')}, 'sensor readings missing' AS message, 'info' AS severity FROM (
+        SELECT participant_id, epoch_us(EventDateTime) // {DAY_US} AS b, least(count(CGM) / 24.0::DOUBLE, 1) * 100 AS v FROM cgm GROUP BY ALL)
+        WHERE 100 - v > 20 AND make_timestamp((b + 1) * {DAY_US}) <= (SELECT m FROM mark)""",
+        MARK,
+    ),
+)
+def stream_uptime_alerts(spark, d):
+    alerts = L.uptime_alerts(L.with_watermark(source(spark, d), "10 minutes"), "24 hours", "1 hour")
+    return rounded(collect(spark, alerts, "subject_id", *zoneless("at"), "value", "message", "severity"))

@@ -204,9 +204,12 @@ def overall_score(mard_value: Column, tir_value: Column, r2_value: Column) -> Co
 
 
 def comprehensive_metrics(
-    df: DataFrame, hyper_threshold: float = E.RANGE_HIGH, by: list[str] | None = None
+    df: DataFrame, hyper_threshold: float = E.RANGE_HIGH, by: list[str] | None = None, training: DataFrame | None = None
 ) -> DataFrame:
-    """Regression and glucose measures with the overall score, one pass over the finite pairs."""
+    """Regression and glucose measures with the overall score, one pass over the finite pairs.
+
+    ``training`` (``training_summary``) adds its columns as ``training_*``, by ``run_id`` = the first of ``by``.
+    """
     pairs = valid_pairs(df, "finite")
     # The glucose measures additionally need a positive reference: blank the other pairs there.
     positive = T() > 0
@@ -230,10 +233,16 @@ def comprehensive_metrics(
             "glucose_glucose_precision": F.stddev_pop(p - t),
         },
     )
-    return out.withColumn(
+    out = out.withColumn(
         "overall_score",
         overall_score(F.col("glucose_mard"), F.col("glucose_time_in_range_accuracy"), F.col("regression_r2")),
     )
+    if training is None:
+        return out
+    if not by:
+        raise ValueError("training metrics are joined by run, so name the run column in by")
+    named = training.select(F.col("run_id").alias("_run"), *[F.col(c).alias(f"training_{c}") for c in training.columns if c != "run_id"])
+    return out.join(named, F.col(by[0]).eqNullSafe(F.col("_run")), "left").drop("_run")
 
 
 def with_zones(df: DataFrame, grid: str = "clarke") -> DataFrame:

@@ -6,9 +6,6 @@ Versions: ``model, version, created_at`` with metrics in a ``map<string,double>`
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,50 +136,32 @@ def early_stop_epoch(
 ) -> DataFrame:
     """Where each run would stop: ``run_id, stopped_epoch, best_epoch, best_value``.
 
-    Input: ``run_id, epoch, value``. The rule is sequential within a run, so runs are
-    hash-distributed, sorted and streamed through with a constant-size state; a run
-    is never held in memory. A run that never stops has a NULL ``stopped_epoch``.
+    Input: ``run_id, epoch, value``. The rule is sequential within a run, so the epochs of a run (one
+    number each) are folded in order. A run that never stops has a NULL ``stopped_epoch``.
     """
     if mode not in ("min", "max"):
         raise ValueError("mode must be min or max")
     sign = 1.0 if mode == "min" else -1.0
+    value = F.col("value").cast("double") * sign
+    steps = F.array_sort(F.collect_list(F.struct(F.col("epoch").cast("bigint").alias("epoch"), value.alias("value"))))
+    none = F.lit(None).cast("bigint")
+    begin = F.struct(F.lit(None).cast("double").alias("best"), none.alias("epoch"), F.lit(0).cast("bigint").alias("wait"), none.alias("stop"))
+
+    def step(state, x):
+        better = state["best"].isNull() | (x["value"] < state["best"] - min_delta)
+        wait = F.when(better, 0).otherwise(state["wait"] + 1)
+        moved = F.struct(
+            F.when(better, x["value"]).otherwise(state["best"]).alias("best"),
+            F.when(better, x["epoch"]).otherwise(state["epoch"]).alias("epoch"),
+            wait.cast("bigint").alias("wait"),
+            F.when(~better & (wait >= patience), x["epoch"]).alias("stop"),
+        )
+        return F.when(state["stop"].isNull(), moved).otherwise(state)
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["run_id", "stopped_epoch", "best_epoch", "best_value"]
-        run, state = None, None
-
-        for batch in batches:
-            finished = []
-            for run_id, epoch, value in zip(batch["run_id"], batch["epoch"], batch["value"]):
-                if state is None or run_id != run:
-                    if state is not None:
-                        finished.append((run, state["stop"], state["epoch"], sign * state["best"]))
-                    run, state = run_id, {"best": sign * value, "epoch": epoch, "wait": 0, "stop": None}
-                elif state["stop"] is None:
-                    if sign * value < state["best"] - min_delta:
-                        state.update(best=sign * value, epoch=epoch, wait=0)
-                    else:
-                        state["wait"] += 1
-                        if state["wait"] >= patience:
-                            state["stop"] = epoch
-            if finished:
-                yield _typed(finished, names)
-        if state is not None:
-            yield _typed([(run, state["stop"], state["epoch"], sign * state["best"])], names)
-
-    kind = epochs.schema["run_id"].dataType.simpleString()
-    ordered = (
-        epochs.select("run_id", F.col("epoch").cast("bigint").alias("epoch"), F.col("value").cast("double").alias("value"))
-        .filter(F.col("value").isNotNull())
-        .repartition("run_id")
-        .sortWithinPartitions("run_id", "epoch")
+    runs = epochs.filter(F.col("value").isNotNull()).groupBy("run_id").agg(F.aggregate(steps, begin, step).alias("_s"))
+    return runs.select(
+        "run_id", F.col("_s.stop").alias("stopped_epoch"), F.col("_s.epoch").alias("best_epoch"), (F.col("_s.best") * sign).alias("best_value")
     )
-    return ordered.mapInPandas(walk, f"run_id {kind}, stopped_epoch bigint, best_epoch bigint, best_value double")
-
-
-def _typed(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    return out.astype({"stopped_epoch": "Int64", "best_epoch": "Int64", "best_value": "float64"})
 
 
 def best_checkpoint(epochs: DataFrame, mode: str = "min") -> DataFrame:
@@ -278,3 +257,26 @@ def compare_models(metrics: DataFrame, first, second) -> DataFrame:
         "improvement_percent",
         F.when(F.col("model1") == 0, F.when(F.col("model2").isNotNull(), 0.0)).otherwise(F.try_divide(change, F.col("model1"))),
     )
+
+
+def compare_model_info(models: DataFrame, first, second) -> DataFrame:
+    """Size and training of two versions: ``section, item, model1, model2``; what is unknown counts as 0.
+
+    Input: ``version, total_parameters, trainable_parameters, epochs_trained, training_duration_seconds``.
+    """
+    items = (
+        ("architecture", "total_parameters"),
+        ("architecture", "trainable_parameters"),
+        ("training", "epochs_trained"),
+        ("training", "training_duration_seconds"),
+    )
+
+    def of(version, item: str):
+        return F.coalesce(F.max(F.when(F.col("version") == F.lit(version), F.col(item))).cast("double"), F.lit(0.0))
+
+    row = models.agg(*[of(v, item).alias(f"{item}_{k}") for _, item in items for k, v in ((1, first), (2, second))])
+    pairs = [
+        F.struct(F.lit(section).alias("section"), F.lit(item).alias("item"), F.col(f"{item}_1").alias("model1"), F.col(f"{item}_2").alias("model2"))
+        for section, item in items
+    ]
+    return row.select(F.inline(F.array(*pairs)))

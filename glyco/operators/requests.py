@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 READINGS = 12
+SLOT_MINUTES = 5
 MAX_READING = 600.0
 
 
@@ -61,7 +62,10 @@ def timeline_to_request(
 
 
 def request_features(requests: DataFrame) -> DataFrame:
-    """Mean, population deviation, deviations from the mean, carbohydrate and insulin totals."""
+    """Mean, population deviation, deviations from the mean, carbohydrate and insulin totals.
+
+    Requests with a ``span_start`` also get ``hours``: the hour of day of each reading's slot.
+    """
     n = F.size("readings")
     total = F.aggregate("readings", F.lit(0.0), lambda a, v: a + v)
     mean = F.try_divide(total, n)
@@ -73,6 +77,10 @@ def request_features(requests: DataFrame) -> DataFrame:
     squares = F.aggregate(
         "readings", F.lit(0.0), lambda a, v: a + (v - F.col("mean_glucose")) * (v - F.col("mean_glucose"))
     )
+    if "span_start" in requests.columns:
+        start = F.hour("span_start") + F.minute("span_start") / 60.0
+        slots = F.sequence(F.lit(0), F.lit(READINGS - 1))
+        out = out.withColumn("hours", F.transform(slots, lambda i: (start + i * SLOT_MINUTES / 60.0) % 24.0))
     return out.withColumns(
         {
             "std_glucose": F.sqrt(F.try_divide(squares, n)),

@@ -205,20 +205,23 @@ def validate_for_sequences(
     return out
 
 
-# Advice per failed check.
+# Advice per failed check, and the rows below which a participant counts as small.
 ADVICE = {
     "target": "Consider imputing missing target values or filtering out incomplete records",
     "gaps": "Consider interpolating data to fill time gaps or adjusting max_time_gap_minutes",
     "length": "Consider removing participants with insufficient data or reducing min_sequence_length",
+    "records": "Some participants have very few records, consider data quality filtering",
 }
+FEW_RECORDS = 50
 
 
-def sequence_recommendations(issues: DataFrame) -> DataFrame:
-    """Advice for the checks that failed."""
+def sequence_recommendations(issues: DataFrame, statistics: DataFrame | None = None, few: int = FEW_RECORDS) -> DataFrame:
+    """Advice for the checks that failed, and for a smallest participant below ``few`` rows (``series_statistics``)."""
+    failed = issues.groupBy("check").agg(F.count(F.lit(1)).alias("n_issues"))
+    if statistics is not None:
+        small = statistics.filter(F.col("min_records") < few)
+        failed = failed.unionByName(small.select(F.lit("records").alias("check"), F.lit(1).cast("bigint").alias("n_issues")))
     lookup = F.create_map(*[F.lit(x) for pair in ADVICE.items() for x in pair])
-    return (
-        issues.groupBy("check")
-        .agg(F.count(F.lit(1)).alias("n_issues"))
-        .withColumn("recommendation", F.get(F.array(F.try_element_at(lookup, F.col("check"))), 0))
-        .filter(F.col("recommendation").isNotNull())
+    return failed.withColumn("recommendation", F.try_element_at(lookup, F.col("check"))).filter(
+        F.col("recommendation").isNotNull()
     )

@@ -7,13 +7,13 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import parse_time, participant_from_path
-from ..operators.clean import union_tables
 from ..schema import CORE, KEY, NA_TOKENS, TIME
+from ..session import write_through
 
 CSV = "*.csv"
 # Columns every export must have; the participant comes from the path.
@@ -43,7 +43,7 @@ def probe_headers(spark: SparkSession, path: str, required: list[str] | None = N
         )
     )
     header = lines.groupBy("path").agg(F.min_by("value", F.struct("block", "line")).alias("header"))
-    names = F.transform(F.split("header", ","), lambda c: F.trim(F.btrim(c, F.lit('"﻿'))))
+    names = F.transform(F.split("header", ","), _header_cell)
     wanted = F.array(*[F.lit(c) for c in (required or REQUIRED)])
     return (
         header.withColumn("columns", names)
@@ -52,38 +52,51 @@ def probe_headers(spark: SparkSession, path: str, required: list[str] | None = N
     )
 
 
+def skipped_files(spark: SparkSession, path: str, required: list[str] | None = None, pattern: str = CSV) -> DataFrame:
+    """``(path, reason)`` of the files that give no readings: without a line, or without a required column."""
+    probed = probe_headers(spark, path, required).select("path", "missing")
+    listed = _files(spark, path, pattern).select("path", "length")
+    # Both sources name a file alike but for escapes.
+    plain = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+    known = probed.select(plain.alias("_file"), "missing")
+    named = listed.select("path", plain.alias("_file")).join(known, "_file", "left")
+    reason = F.when(F.col("missing").isNull(), "no readable line").when(
+        F.size("missing") > 0, F.concat(F.lit("missing columns: "), F.array_join("missing", ", "))
+    )
+    return named.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select("path", "reason")
+
+
 def read_cgm_csv(spark: SparkSession, path: str, schema: T.StructType = CORE) -> DataFrame:
     """All CSV files below ``path`` in the core schema, extra columns kept as text.
 
-    Files are read once per distinct header, so differing column orders are safe.
-    Missing-value tokens and unparseable values become NULL; unreadable files are
-    skipped, and it is an error when nothing can be read.
+    The files are scanned twice, whatever their number and headers: once for their header lines, once for
+    their rows, whose cells are taken by the header of their own file. Only the column names reach the
+    driver. Missing-value tokens and unparseable values become NULL. Unreadable files are skipped
+    (:func:`skipped_files` names them); it is an error when no row can be read.
     """
-    probed = probe_headers(spark, path, [])
-    headers = [r["header"] for r in probed.select("header").distinct().collect()]
-    if not headers:
+    headers = write_through(probe_headers(spark, path, []).select("path", "columns"))
+    columns = sorted(r["c"] for r in headers.select(F.explode("columns").alias("c")).distinct().collect())
+    if not columns:
         raise FileNotFoundError(f"no CSV file below {path}")
-    reader = (
-        spark.read.option("header", True)
+    width = headers.agg(F.max(F.size("columns"))).first()[0]
+    raw = (
+        spark.read.schema(", ".join(f"_c{i} string" for i in range(width)))
         .option("mode", "PERMISSIVE")
         .option("ignoreCorruptFiles", True)
-        .option("enforceSchema", False)
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", CSV)
+        .csv(path)
     )
-    if len(headers) == 1:
-        raws = [reader.option("recursiveFileLookup", True).option("pathGlobFilter", CSV).csv(path)]
-    else:
-        # File names of the odd headers; the driver lists files in any case.
-        raws = []
-        for header in headers:
-            rows = probed.filter(F.col("header") == header).select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("p"))
-            raws.append(reader.csv([r["p"] for r in rows.collect()]))
-    frames = [raw.withColumn("_path", F.col("_metadata.file_path")) for raw in raws]
-    table = union_tables(frames)
+    cells = F.array(*[F.col(f"_c{i}") for i in range(width)])
+    at = F.transform(F.array(*[F.lit(c) for c in columns]), lambda c: F.array_position(F.col("columns"), c).cast("int") - 1)
+    rows = raw.select(F.col("_metadata.file_path").alias("_path"), cells.alias("_cells"))
+    rows = rows.join(headers.select(F.col("path").alias("_path"), "columns", at.alias("_at")), "_path")
+    own = F.slice("_cells", F.lit(1), F.size("columns"))
+    rows = rows.filter(F.transform(own, lambda c: _header_cell(F.coalesce(c, F.lit("")))) != F.col("columns"))
+    table = rows.select("_path", *[F.when(F.get("_at", F.lit(k)) >= 0, F.get("_cells", F.get("_at", F.lit(k)))).alias(c) for k, c in enumerate(columns)])
     declared = {f.name: f.dataType for f in schema.fields}
     out = []
-    for c in table.columns:
-        if c == "_path":
-            continue
+    for c in columns:
         text = F.when(~F.trim(F.col(f"`{c}`")).isin(NA_TOKENS), F.col(f"`{c}`"))
         kind = declared.get(c, T.StringType())
         if c == TIME:
@@ -93,11 +106,17 @@ def read_cgm_csv(spark: SparkSession, path: str, schema: T.StructType = CORE) ->
             if isinstance(kind, T.DoubleType):
                 text = F.nanvl(text, F.lit(None).cast("double"))
         out.append(text.alias(c))
-    if KEY not in table.columns:
+    if KEY not in columns:
         out.append(participant_from_path(F.col("_path")).alias(KEY))
+    if table.isEmpty():
+        raise ValueError(f"no row could be read below {path}")
     return table.select(*out)
 
 
+def _header_cell(cell: Column) -> Column:
+    return F.trim(F.btrim(cell, F.lit('"\ufeff')))
+
+
 def file_integrity(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Size, MD5 and SHA-256 of every file.
 

@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import expressions as E
-from ..schema import KEY, TARGET, TIME
+from ..schema import KEY, TARGET, TIME, duration_us
 
 
 def read_readings(
@@ -81,7 +81,8 @@ def stream_dedupe(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 # Severity per alert.
-SEVERITY = {"hypo": "critical", "hyper": "warning"}
+SEVERITY = {"hypo": "critical", "hyper": "warning", "uptime": "info"}
+UPTIME_MESSAGE = "sensor readings missing"
 
 
 def alerts(readings: DataFrame, low: float = E.HYPO, high: float = E.HYPER) -> DataFrame:
@@ -94,6 +95,20 @@ def alerts(readings: DataFrame, low: float = E.HYPO, high: float = E.HYPER) -> D
     return found.select(F.col(KEY).alias("subject_id"), F.col(TIME).alias("at"), c.alias("value"), text.alias("message"), severity.alias("severity"))
 
 
+def uptime_alerts(readings: DataFrame, window: str = "24 hours", cadence: str = "5 minutes", alert_above: float = 20.0) -> DataFrame:
+    """``subject_id, at, value, message, severity`` where more than ``alert_above`` % of a window's readings are missing.
+
+    Batch or stream (with a watermark). ``value`` is the share received. A window without any row is not
+    seen; ``operators.explore.sensor_uptime`` looks back from a given end instead.
+    """
+    expected = duration_us(window) / duration_us(cadence)
+    uptime = F.least(F.count(TARGET) / F.lit(expected), F.lit(1.0)) * 100.0
+    spans = readings.groupBy(KEY, F.window(TIME, window).alias("_w")).agg(uptime.alias("value"))
+    return spans.filter(100.0 - F.col("value") > alert_above).select(
+        F.col(KEY).alias("subject_id"), F.col("_w.end").alias("at"), "value", F.lit(UPTIME_MESSAGE).alias("message"), F.lit(SEVERITY["uptime"]).alias("severity")
+    )
+
+
 def stream_alerts(
     stream: DataFrame, checkpoint: str, send: Callable[[DataFrame, int], None], **limits: float
 ) -> StreamingQuery:

@@ -41,6 +41,19 @@ def test_no_csv_is_an_error(spark, tmp_path):
         S.read_cgm_csv(spark, str(tmp_path))
 
 
+def test_skipped_files_and_nothing_to_read(spark, tmp_path):
+    for name, text in {"good.csv": f"{HEAD}\n2024-01-01 00:00:00,auto,NA,0.5,,nan,0,10,120\n", "foreign.csv": "foo,bar\n1,2\n", "cut.csv": HEAD[:40]}.items():
+        (tmp_path / name).write_text(text)
+    found = {r["path"].rsplit("/", 1)[1]: r["reason"] for r in S.skipped_files(spark, str(tmp_path)).collect()}
+    assert set(found) == {"foreign.csv", "cut.csv"} and all(x.startswith("missing columns: ") for x in found.values())
+    assert S.read_cgm_csv(spark, str(tmp_path)).filter("CGM = 120").count() == 1
+    bare = tmp_path / "bare"
+    bare.mkdir()
+    (bare / "head.csv").write_text(HEAD + "\n")
+    with pytest.raises(ValueError):
+        S.read_cgm_csv(spark, str(bare))
+
+
 def test_archives(spark, tmp_path):
     inner = io.BytesIO()
     with zipfile.ZipFile(inner, "w") as z:
