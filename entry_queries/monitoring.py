@@ -19,7 +19,8 @@ from glyco.sources import files as S
 from glyco.sources import sinks as K
 from glyco.sources.events import load_cgm, load_pairs
 
-from .base import CGM, PAIRS, cgm_sql, query, r, rounded
+from .base import CGM, PAIRS, cgm_sql, pairs_sql, query, r, rounded
+from .evaluation import ALL as CLINICAL
 
 W = "PARTITION BY participant_id ORDER BY EventDateTime"
 IN = "(CGM BETWEEN 70 AND 180)::INT::DOUBLE"
@@ -661,12 +662,13 @@ def probe_headers(spark, d):
     return S.probe_headers(spark, export(spark, d)).select("path", "complete")
 
 
-@query("skip_bad_files")
+@query("skip_bad_files", cgm_sql("SELECT 'subject_' || (participant_id % 5) AS participant_id, count(*) AS readings FROM cgm GROUP BY ALL"))
 def skip_bad_files(spark, d):
     folder = export(spark, d)
-    # A file with a foreign header among the exports.
+    # A file with a foreign header among the exports gives no readings.
     spark.createDataFrame([("1", "2")], "foo string, bar string").write.option("header", True).csv(f"{folder}/foreign")
-    return S.read_cgm_csv(spark, folder).groupBy("participant_id").agg(F.count("EventDateTime").alias("readings"))
+    readings = S.read_cgm_csv(spark, folder).groupBy("participant_id").agg(F.count("EventDateTime").alias("readings"))
+    return readings.filter("readings > 0")
 
 
 @query("file_integrity")
@@ -684,13 +686,16 @@ def dataset_inventory(spark, d):
     return S.dataset_inventory(spark, d, "*.parquet").select("path", "length")
 
 
-@query("write_report")
+@query(
+    "write_report",
+    pairs_sql("\nUNION ALL\n".join(f"SELECT 'clinical' AS section, '{name}' AS item, {r(expression, 'value')} FROM pairs" for name, expression in CLINICAL.items())),
+)
 def write_report(spark, d):
     from glyco.operators.evaluate import clinical_metrics_all
 
     path = f"{checkpoint_dir(spark)}/report-{uuid.uuid4()}"
     K.write_report(K.tidy(rounded(clinical_metrics_all(load_pairs(spark, d))), "clinical"), path)
-    return spark.read.json(path).select("section", "item", "value")
+    return spark.read.json(path).select("section", "item", F.col("value").cast("double").alias("value"))
 
 
 # --- models and user functions ---------------------------------------------------------
@@ -753,14 +758,17 @@ def apply_per_participant(spark, d):
     return U.apply_per_participant(df, count, "participant_id bigint, week int, n bigint, known bigint", ["participant_id", "week"])
 
 
-@query("map_files")
+@query("map_files", cgm_sql("SELECT 'subject_' || (participant_id % 5) AS participant_id, count(*) AS readings FROM cgm GROUP BY ALL"))
 def map_files(spark, d):
     import pandas as pd
 
     def lines(path, content):
-        return pd.DataFrame({"bytes": [len(content)], "lines": [content.count(b"\n")]})
+        return pd.DataFrame({"path": [path], "lines": [content.count(b"\n")]})
 
-    return U.map_files(spark, export(spark, d), lines, "bytes bigint, lines bigint", "*.csv")
+    files = U.map_files(spark, export(spark, d), lines, "path string, lines bigint", "*.csv")
+    # Each file begins with a header line.
+    readings = (F.sum("lines") - F.count(F.lit(1))).alias("readings")
+    return files.groupBy(X.participant_from_path(F.col("path")).alias("participant_id")).agg(readings)
 
 
 @query("map_reduce", f"SELECT {r('max(value * 2)', 'result')} FROM events")

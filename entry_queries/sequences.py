@@ -8,7 +8,8 @@ from glyco.operators import resample as R
 from glyco.operators import sequences as S
 from glyco.operators import splits as P
 from glyco.plans.pipelines import sequence_dataset as build
-from glyco.sources.events import load_cgm, load_pairs
+from glyco.session import prepare
+from glyco.sources.events import cgm_from_events, load_cgm, load_pairs
 
 from .base import cgm_sql, pairs_sql, query, r, rounded
 
@@ -147,11 +148,10 @@ DENSE = "dense AS (SELECT event_id, ts AS EventDateTime, user_id AS participant_
 
 
 def dense(spark, d):
-    df = load_cgm(spark, d)
-    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "value")
-    return df.select("event_id", "EventDateTime", "participant_id", "CGM").join(events, "event_id").withColumn(
-        "hour", F.hour("EventDateTime").cast("double")
-    )
+    prepare(spark)
+    events = spark.read.parquet(f"{d}/events.parquet")
+    readings = cgm_from_events(events, ["value"])
+    return readings.select("event_id", "EventDateTime", "participant_id", "CGM", "value", F.hour("EventDateTime").cast("double").alias("hour"))
 
 
 STEPS = 4
@@ -196,14 +196,19 @@ def valid_sequence(spark, d):
     return S.valid_sequence(seqs).select("participant_id", "seq_end", "valid")
 
 
-@query("sequence_info")
+@query(
+    "sequence_info",
+    f"""WITH {DENSE}, {NUMBERED}, {windows()} SELECT {STEPS}::INT AS steps, 1::INT AS horizon, 'CGM' AS target, {len(SEQ_COLS)}::INT AS n_features,
+    '{",".join(SEQ_COLS)}' AS features, count(*) AS n_sequences FROM ends""",
+)
 def sequence_info(spark, d):
     from glyco.schema import numeric_columns
 
     df = dense(spark, d)
     seqs = S.sliding_sequences(df, SEQ_COLS, steps=STEPS)
     info = S.sequence_info(spark, numeric_columns(df.select(*SEQ_COLS)), steps=STEPS)
-    return info.join(seqs.agg(F.count(F.lit(1)).alias("n_sequences")))
+    counted = seqs.agg(F.count(F.lit(1)).alias("n_sequences"))
+    return counted.select(*[F.lit(v).alias(c) for c, v in info.withColumn("features", F.array_join("features", ",")).first().asDict().items()], "n_sequences")
 
 
 CELLS = f"""cells AS (SELECT e.participant_id, e.rn, f.CGM, f.value, f.hour FROM ends e

@@ -10,8 +10,8 @@ from ..plans.series import Layout
 from ..session import prepare
 
 
-def cgm_from_events(events: DataFrame) -> DataFrame:
-    """``events(event_id, ts, user_id, event_type, value)`` as device readings."""
+def cgm_from_events(events: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """``events(event_id, ts, user_id, event_type, value)`` as device readings; ``extra`` event columns stay."""
     kind, value = F.col("event_type"), F.col("value")
     return events.select(
         "event_id",
@@ -24,6 +24,7 @@ def cgm_from_events(events: DataFrame) -> DataFrame:
         F.when((kind == "purchase") & (value > 50), value / 20).alias("CorrectionDelivered"),
         F.when(kind == "click", value).alias("FoodDelivered"),
         F.when(kind == "click", value * 0.8).alias("CarbSize"),
+        *(extra or []),
     )
 
 

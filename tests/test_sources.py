@@ -110,3 +110,26 @@ def test_sequence_sink(spark, tmp_path):
 def test_map_reduce(spark):
     out = map_reduce(spark.range(1000).toDF("n"), lambda b: b["n"] * 2.0, lambda a, b: a + b, fan_in=4)
     assert out.first()["result"] == 999000.0
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    from glyco.streaming import live as L
+
+    folder, schema = tmp_path / "in", "participant_id long, EventDateTime timestamp, CGM double, Basal double, TotalBolusInsulinDelivered double, FoodDelivered double"
+    folder.mkdir()
+
+    def feed(name, times):
+        rows = spark.createDataFrame([(1, t, 100.0, 0.0, 0.0, 0.0) for t in times], "participant_id long, t string, CGM double, Basal double, TotalBolusInsulinDelivered double, FoodDelivered double")
+        table = rows.select("participant_id", F.to_timestamp("t").alias("EventDateTime"), "CGM", "Basal", "TotalBolusInsulinDelivered", "FoodDelivered")
+        table.coalesce(1).write.mode("append").parquet(str(folder / name))
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/*")
+        query = L.run_to_parquet(L.stream_resample(stream, "5 minutes"), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        query.awaitTermination()
+        return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+    feed("a", ["2024-01-01 00:00:00", "2024-01-01 02:00:00"])
+    assert run() == 0
+    feed("b", ["2024-01-01 00:01:00", "2024-01-01 02:01:00"])  # the first is later than the watermark allows
+    assert run() == 1
