@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyco.llm.ranks import sample_candidates
+
 # Kinds in listing order: those of the fixed rules, then the model's own.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "ssn", "iban", "date")
@@ -285,10 +287,11 @@ def training_windows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[l
                 hits = [m.start() for m in TRIGGER.finditer(text)]
                 picks = sorted({hits[i * len(hits) // SAMPLE_WINDOWS] for i in range(SAMPLE_WINDOWS)})
                 rows.append([text[max(0, p - 30) : max(0, p - 30) + WINDOW] for p in picks] + [text[:WINDOW]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.string()))], names=["doc_id", "windows"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.string()))], names=["place", "windows"])
 
-    holding = docs.select(F.col("doc_id").cast("long"), "text").filter(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull())
-    chosen = holding.mapInArrow(cut, "doc_id long, windows array<string>").orderBy(F.xxhash64("doc_id"), "doc_id", "windows").limit(sample_docs)
+    holding = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull())
+    near = sample_candidates(holding, ["doc_id", "text"], sample_docs, SEED).select("place", "text")
+    chosen = near.mapInArrow(cut, "place long, windows array<string>").orderBy("place", "windows").limit(sample_docs)
     found, plain = [], []
     for _, windows in chosen.collect():
         found += [(w, base_spans(w)) for w in windows[:-1]]

@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glyco.llm.ranks import sample_candidates
+
 WINDOW = 8  # words of a repeated window
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # per cent of words in repeated windows
 SAMPLE_DOCS = 300  # labelled documents of each class that the model is fitted on
 SAMPLE_LINES = 50  # lines of such a document
 CONTENT_SHARE = 0.5
+SEED = 42
 SYMBOLS = b"#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 CONTENT = 1  # label of a content line; 0 is boilerplate
@@ -158,7 +161,8 @@ def fit_model(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS
     chosen: dict[int, int] = {}
     for quality in (0, 1):
         of_class = labels.filter((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-        for (doc_id,) in of_class.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect():
+        lowest = sample_candidates(of_class, ["doc_id"], sample_docs, SEED).orderBy("place", "doc_id").limit(sample_docs)
+        for doc_id, _ in lowest.collect():
             chosen.setdefault(doc_id, quality)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,3 +34,14 @@ def seeded_ranks(df: DataFrame, keys: list[str], ids: list[str], seed: int, shar
         .withColumn("rank", F.col("_first") + F.row_number().over(inside) - 1)
         .drop("_place", "_shards", "_shard", "_first")
     )
+
+
+def sample_candidates(df: DataFrame, ids: list[str], n: int, seed: int) -> DataFrame:
+    """The rows that may be among the ``n`` of lowest seeded hash of ``ids``, with the hash as ``place``.
+
+    The rows are counted first; the bound on the hash all but surely leaves ``n`` rows or a few more, so what
+    is sorted in the end does not grow with the table.
+    """
+    share = min(1.0, (n + 10 * math.sqrt(n) + 20) / max(df.count(), 1))
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *ids), 11)
+    return df.withColumn("place", place).filter(F.col("place") <= int(share * (1 << 53)))
