@@ -92,8 +92,24 @@ def write_through(df: DataFrame) -> DataFrame:
     """Write a table to the checkpoint folder as Parquet and read it back.
 
     Cuts the lineage like ``checkpoint`` does, and later passes read only the columns
-    they need. The folder's owner removes old tables.
+    they need. ``drop_written`` removes the tables when their results are stored.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: list[str] = []
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete the tables that ``write_through`` has left so far; returns how many there were.
+
+    Call it when the results that read them are stored: results are computed lazily.
+    """
+    count = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return count

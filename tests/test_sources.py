@@ -133,3 +133,15 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     assert run() == 0
     feed("b", ["2024-01-01 00:01:00", "2024-01-01 02:01:00"])  # the first is later than the watermark allows
     assert run() == 1
+
+
+def test_written_tables_can_be_dropped(spark):
+    from glyco.session import drop_written, write_through
+
+    drop_written(spark)
+    table = write_through(spark.range(10))
+    path = table.inputFiles()[0]
+    assert table.count() == 10
+    assert drop_written(spark) == 1 and drop_written(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
