@@ -10,7 +10,7 @@ from ..plans.quantiles import group_quantiles
 from ..plans.series import T_US, Layout, Series
 from ..schema import KEY, TARGET, TIME, duration_us, micros
 from .evaluate import histogram
-from .features import _active_sum, _recent_boluses
+from .features import IOB_ROWS, insulin_on_board
 
 
 def gap_histogram(df: DataFrame, *, layout: Layout | None = None) -> DataFrame:
@@ -191,13 +191,9 @@ def worst_days(df: DataFrame, n: int = 3) -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select(KEY, "day", "tir_percent", "rank")
 
 
-def patient_snapshot(df: DataFrame, *, layout: Layout | None = None) -> DataFrame:
-    """Latest glucose, its trend, mean, insulin on board, time since the last meal and reading."""
-    s = Series(df, layout, back_rows=100)
-    boluses = s.df.withColumn("_b", _recent_boluses(s.window))
-    with_iob = s.close(
-        boluses.withColumn("_iob", _active_sum(F.col("_b"), E.decay_fraction, E.INSULIN_DURATION)), "_b"
-    )
+def patient_snapshot(df: DataFrame, *, rows: int | None = IOB_ROWS, layout: Layout | None = None) -> DataFrame:
+    """Latest glucose, its trend, mean, insulin on board (of ``rows`` rows), time since the last meal and reading."""
+    with_iob = insulin_on_board(df, rows=rows, layout=layout).withColumnRenamed("insulin_on_board", "_iob")
     t, c = micros(TIME), F.col(TARGET)
     known = F.when(c.isNotNull(), t)
     # Two newest readings: the second newest is the newest before the newest.
