@@ -14,6 +14,7 @@ HYPER = 250.0
 INSULIN_DURATION = 360.0
 INSULIN_PEAK = 75.0
 DECAY_CONSTANT = 4.0
+# The marker of prediction replies and the advice per status.
 PREDICTION_MARKER = "[PREDICTION RESULT]"
 STATUS_ADVICE = {
     "LOW": "Consider consuming fast-acting carbohydrates and monitor closely.",

@@ -279,6 +279,15 @@ def zone_summary(df: DataFrame, grid: str = "clarke", by: list[str] | None = Non
     return table
 
 
+# Texts of the grid reports.
+CRITERIA_TEXT = ("Analysis performed using ", " diabetes criteria")
+HIGHER_TEXT = {"parkes": "Parkes grid shows ", "clarke": "Clarke grid shows "}
+SAME_ACCEPTANCE = "Similar clinical acceptability between Parkes and Clarke grids"
+SAME_PRECISION = "Similar precision (Zone A) between grids"
+STRINGENT = "Parkes grid provides more stringent clinical assessment"
+CONSISTENT = "Results consistent between both clinical assessment methods"
+
+
 def grid_interpretation(summary: DataFrame, grid: str = "clarke") -> DataFrame:
     """Column ``interpretation`` on a zone summary."""
     name = grid.split("_")[0]
@@ -286,7 +295,7 @@ def grid_interpretation(summary: DataFrame, grid: str = "clarke") -> DataFrame:
     more = []
     if name == "parkes":
         more = [
-            F.concat(F.lit("Analysis performed using "), F.upper("parkes_grid_type"), F.lit(" diabetes criteria"))
+            F.concat(F.lit(CRITERIA_TEXT[0]), F.upper("parkes_grid_type"), F.lit(CRITERIA_TEXT[1]))
         ]
     text = Z.interpretation(
         bands,
@@ -308,17 +317,15 @@ def compare_grids(parkes: DataFrame, clarke: DataFrame, by: list[str] | None = N
         amount = F.format_string("%.1f", F.abs(diff))
         return (
             F.when(F.abs(diff) < small, same)
-            .when(diff > 0, F.concat(F.lit("Parkes grid shows "), amount, F.lit(f"% higher {what}")))
-            .otherwise(F.concat(F.lit("Clarke grid shows "), amount, F.lit(f"% higher {what}")))
+            .when(diff > 0, F.concat(F.lit(HIGHER_TEXT["parkes"]), amount, F.lit(f"% higher {what}")))
+            .otherwise(F.concat(F.lit(HIGHER_TEXT["clarke"]), amount, F.lit(f"% higher {what}")))
         )
 
     text = F.concat_ws(
         "; ",
-        lead(accept, 1, "Similar clinical acceptability between Parkes and Clarke grids", "clinical acceptability"),
-        lead(precise, 2, "Similar precision (Zone A) between grids", "precision"),
-        F.when(accept < 0, "Parkes grid provides more stringent clinical assessment").otherwise(
-            "Results consistent between both clinical assessment methods"
-        ),
+        lead(accept, 1, SAME_ACCEPTANCE, "clinical acceptability"),
+        lead(precise, 2, SAME_PRECISION, "precision"),
+        F.when(accept < 0, STRINGENT).otherwise(CONSISTENT),
     )
     return both.select(*(by or []), accept.alias("acceptable_diff"), precise.alias("zone_a_diff"), text.alias("comparison"))
 
