@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from glyco.llm.components import components
 from glyco.llm.exact import solid, staying
+from glyco.llm.text import whole
 from glyco.session import write_through
 
 WIDTH = 4  # words of a shingle
@@ -212,7 +213,23 @@ def near_groups(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> Da
 
 
 def drop_near(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns: the smallest doc_id of each group."""
-    groups = near_groups(docs, width, radius)
-    kept = groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(solid(F.col("doc_id")).alias("_id")).distinct()
-    return staying(docs.withColumn("_id", solid(F.col("doc_id"))), write_through(kept), ["_id"])
+    """The rows of ``docs`` that stay, with their columns: one of each group of near texts.
+
+    The row of the smallest doc_id stays, a null one only where the group has no other. Groups are
+    made of texts alone: rows without a doc_id, or with different texts under one, stay apart.
+    """
+    marked = docs.withColumn("_id", solid(F.col("doc_id"))).withColumn("_sha", F.sha2(F.encode(whole(F.col("text")), "UTF-8"), 256))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([fingerprint(t, width) for t in batch.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], names=["doc_id", "_sha", "fingerprint"])
+
+    prints = write_through(marked.select(F.col("doc_id").cast("long"), "_sha", "text").mapInArrow(run, "doc_id long, _sha string, fingerprint long"))
+    # Of each fingerprint the row that would stay; fingerprints are the nodes.
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_sha")
+    nodes = write_through(prints.groupBy("fingerprint").agg(F.min(row).alias("row")).withColumn("node", F.col("fingerprint")))
+    found = write_through(components(links(nodes.select("node", "fingerprint"), radius)))
+    best = nodes.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("row").alias("row"))
+    kept = write_through(best.select(solid(F.col("row.doc_id")).alias("_id"), F.col("row._sha").alias("_sha")))
+    return staying(marked, kept, ["_id", "_sha"])

@@ -85,6 +85,14 @@ def test_groups(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values()))
 
 
+def test_rows_with_missing_and_reused_ids_stay(spark):
+    """Only near texts go: five without a doc_id, three under one doc_id, and copies of both kinds."""
+    texts = [(None, prose(80, 50 + k)) for k in range(5)] + [(7, prose(80, 60 + k)) for k in range(3)]
+    copies = [(None, prose(80, 50)), (None, prose(80, 60)), (9, prose(80, 61))]
+    kept = simhash.drop_near(spark.createDataFrame(texts + copies, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted((i or 0, t) for i, t in texts)
+
+
 def test_empty(spark):
     assert simhash.near_groups(empty(spark)).count() == 0
     assert simhash.drop_near(empty(spark)).count() == 0
