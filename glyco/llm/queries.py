@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyco.llm import chat, exact, licenses, mixing, packing, pii, quality, secrets, simhash, substrings
+from glyco.llm import chat, exact, licenses, merkle, mixing, packing, pii, quality, secrets, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -134,3 +134,69 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op8_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     """Passages of 50 words and more that documents share."""
     return substrings.repeated_passages(table(spark, folder, "documents"))
+
+
+# CRC-32 of a decimal number: bytes are folded with the reversed polynomial, one bit at a time.
+CRC_SQL = """xor(list_reduce(list_concat([4294967295::BIGINT], [ascii(c)::BIGINT FOR c IN string_split({0}::VARCHAR, '')]),
+    lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda v, _: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295::BIGINT)"""
+
+
+def _merkle_told(text: str) -> str:
+    plain = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in plain)
+
+
+def _merkle_up(name: str, leaves: str) -> str:
+    """A recursive CTE with every node of the trees over ``leaves`` (tree, pos, size, digest)."""
+    return f"""{name} AS (
+  SELECT tree, 0 AS level, pos, size, digest FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, pos // 8, (size + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM {name} WHERE size > 1 GROUP BY tree, level, pos // 8, size)"""
+
+
+def _merkle_fold(name: str, start: str, nodes: str) -> str:
+    """A recursive CTE that folds the values of ``start`` (id, tree, pos, value, proof) up to the root of their tree."""
+    return f"""{name} AS (
+  SELECT id, tree, 0 AS level, pos, value, proof FROM {start}
+  UNION ALL
+  SELECT f.id, f.tree, f.level + 1, f.pos // 8,
+         sha256(string_agg(CASE WHEN n.pos = f.pos THEN f.value ELSE n.digest END, '' ORDER BY n.pos)),
+         any_value(f.proof) || coalesce(string_agg(CASE WHEN n.pos <> f.pos THEN n.digest END, '' ORDER BY n.pos), '')
+  FROM {name} f JOIN {nodes} n ON n.tree = f.tree AND n.level = f.level AND n.pos // 8 = f.pos // 8
+  WHERE n.size > 1 GROUP BY f.id, f.tree, f.level, f.pos)"""
+
+
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+MERKLE_SQL = f"""
+WITH RECURSIVE told AS (
+  SELECT doc_id, lang, sha256({_merkle_told("text")}) AS leaf, sha256({_merkle_told(LOWERED)}) AS low,
+         coalesce({CRC_SQL.format("doc_id")} % 3 = 0, FALSE) AS tampered
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id NULLS FIRST, leaf) AS id,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY lang) AS size
+  FROM told),
+base AS (SELECT tree, pos, size, leaf AS digest FROM leaves),
+{_merkle_up("up", "base")},
+subroots AS (SELECT -1 AS tree, tree AS pos, (SELECT max(tree) + 1 FROM leaves) AS size, digest FROM up WHERE size = 1),
+{_merkle_up("top", "subroots")},
+begun AS (SELECT id, tree, pos, CASE WHEN tampered THEN low ELSE leaf END AS value, '' AS proof FROM leaves),
+{_merkle_fold("low_fold", "begun", "up")},
+middle AS (
+  SELECT id, -1 AS tree, tree AS pos, value, proof FROM low_fold
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY level DESC) = 1),
+{_merkle_fold("top_fold", "middle", "top")},
+ended AS (SELECT id, value, proof FROM top_fold QUALIFY row_number() OVER (PARTITION BY id ORDER BY level DESC) = 1)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, r.digest AS root, sha256(e.proof) AS proof_sha256, e.value AS folded_root,
+       e.value = r.digest AS verified
+FROM leaves l JOIN ended e USING (id) JOIN subroots s ON s.pos = l.tree CROSS JOIN (SELECT digest FROM top WHERE size = 1) r"""
+
+
+@query("op11_merkle_manifest", MERKLE_SQL)
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaves, roots and checked proofs of all documents."""
+    return merkle.manifest(table(spark, folder, "documents"))
