@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyco.llm import chat, exact, licenses, merkle, mixing, packing, pii, quality, secrets, simhash, substrings
+from glyco.llm import chat, exact, licenses, merkle, mixing, packing, pii, postings, quality, secrets, simhash, substrings, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -200,3 +200,42 @@ FROM leaves l JOIN ended e USING (id) JOIN subroots s ON s.pos = l.tree CROSS JO
 def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Leaves, roots and checked proofs of all documents."""
     return merkle.manifest(table(spark, folder, "documents"))
+
+
+@query("op12_nearest_vectors")
+def op12_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest of every 20th embedding among all others."""
+    return postings.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+TRIE_SQL = f"""
+WITH own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+         md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d, length(coalesce(text, '')) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT DISTINCT conv_id, {CRC_SQL.format("conv_id")} % 6 AS h FROM own),
+turns AS (
+  SELECT c.conv_id, 0 AS part, o.pos, o.d, o.n FROM convs c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 100 AND o.pos <= c.h
+  UNION ALL SELECT c.conv_id, 1, o.pos, o.d, o.n FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.pos > c.h),
+steps AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(d, '') OVER w AS key, n
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+lengths AS (SELECT conv_id, max(depth) AS depth FROM steps GROUP BY conv_id),
+nodes AS (
+  SELECT s.key, s.depth, min(s.conv_id) AS conv_id, count(*) AS n_convs, any_value(s.n) AS n,
+         sha256(coalesce(string_agg(CASE WHEN l.depth = s.depth THEN s.conv_id::VARCHAR END, ',' ORDER BY s.conv_id), '')) AS ends_sha256
+  FROM steps s JOIN lengths l USING (conv_id) GROUP BY s.key, s.depth),
+families AS (SELECT left(key, 32 * (depth::INT - 1)) AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+grown AS (SELECT n.*, coalesce(f.n_children, 0) AS n_children FROM nodes n LEFT JOIN families f USING (key)),
+below AS (
+  SELECT left(key, 32 * up::INT) AS key, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum((n_convs - 1) * n)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM grown) GROUP BY 1)
+SELECT g.conv_id, g.depth, p.conv_id AS parent_conv_id, g.n_convs, g.n_children, b.n_leaves, b.saved_tokens, g.ends_sha256
+FROM grown g JOIN below b USING (key) LEFT JOIN grown p ON g.depth > 0 AND p.key = left(g.key, 32 * (g.depth::INT - 1))"""
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Trie nodes of all rebuilt conversations."""
+    return trie.prefix_trie(table(spark, folder, "conversations"))
