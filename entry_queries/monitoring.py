@@ -722,6 +722,74 @@ def walk_forward_evaluate(spark, d):
     return rounded(M.walk_forward_evaluate(windows(spark, d), step=500, horizon=500))
 
 
+def steps_of_one(spark, d):
+    """Sequences of one reading and the next one as target."""
+    df = load_cgm(spark, d).filter(F.col("CGM").isNotNull())
+    return sliding_sequences(df, ["CGM"], steps=1)
+
+
+ONE = """ones AS (
+  SELECT *, row_number() OVER (ORDER BY seq_end, participant_id) - 1 AS rn, count(*) OVER () AS n FROM (
+    SELECT participant_id, EventDateTime AS seq_end, CGM AS x, lead(CGM) OVER (PARTITION BY participant_id ORDER BY EventDateTime) AS y
+    FROM cgm WHERE CGM IS NOT NULL) WHERE y BETWEEN 20 AND 600)"""
+# The ridge fit of one standardised feature and label in closed form.
+FIT = """SELECT {0}, count(*) AS n_train, covar_pop(y, x) / var_pop(x) / (1 + 0.01::DOUBLE / stddev_pop(y)) AS slope, avg(x) AS mx, avg(y) AS my FROM {1} GROUP BY {0}"""
+
+
+def _scored_sql(rows: str) -> str:
+    measures = {
+        "mae": "avg(abs(y - p))",
+        "mse": "avg((y - p) ** 2)",
+        "rmse": "sqrt(avg((y - p) ** 2))",
+        "mard": "avg(abs((y - p) / y)) * 100",
+        "valid_predictions": "count(*)",
+    }
+    scored = f"(SELECT fold, n_train, y, my + slope * (x - mx) AS p FROM fits JOIN ({rows}) USING (fold))"
+    return "\nUNION ALL\n".join(f"SELECT fold::INT AS fold, n_train, '{m}' AS metric, {r(e, 'value')} FROM {scored} GROUP BY fold, n_train" for m, e in measures.items())
+
+
+@query(
+    "walk_forward_one_feature",
+    cgm_sql(
+        f"""SELECT ((train_end - floor(n * 0.5::DOUBLE)::BIGINT) // 50 + 1)::INT AS step, train_end, {r('y', 'y_true')}, {r('my + slope * (x - mx)', 'y_pred')}
+            FROM fits JOIN ones ON rn >= train_end AND rn < train_end + 70""",
+        ONE,
+        "ends AS (SELECT unnest(range(any_value(floor(n * 0.5::DOUBLE)::BIGINT), any_value(n), 50)) AS train_end FROM ones)",
+        "fits AS (" + FIT.format("train_end", "(SELECT train_end, x, y FROM ends JOIN ones ON rn < train_end)") + ")",
+    ),
+)
+def walk_forward_one_feature(spark, d):
+    return rounded(M.walk_forward_evaluate(steps_of_one(spark, d), step=50, horizon=70))
+
+
+@query(
+    "cross_validate_one_feature",
+    cgm_sql(
+        _scored_sql("SELECT fold, x, y FROM folded"),
+        ONE,
+        """folded AS (SELECT x, y, least(k // greatest(people // 5, 1), least(people, 5) - 1) + 1 AS fold FROM ones JOIN (
+             SELECT participant_id, row_number() OVER (ORDER BY participant_id) - 1 AS k, count(*) OVER () AS people FROM (SELECT DISTINCT participant_id FROM ones))
+             USING (participant_id))""",
+        "fits AS (" + FIT.format("fold", "(SELECT f.fold, x, y FROM (SELECT DISTINCT fold FROM folded) f JOIN folded t ON t.fold <> f.fold)") + ")",
+    ),
+)
+def cross_validate_one_feature(spark, d):
+    return rounded(M.cross_validate(steps_of_one(spark, d)))
+
+
+@query(
+    "cross_validate_by_time",
+    cgm_sql(
+        _scored_sql("SELECT fold, x, y FROM starts JOIN ones ON rn >= start AND rn < start + size"),
+        ONE,
+        "starts AS (SELECT fold, size, n - (6 - fold) * size AS start FROM (SELECT any_value(n) AS n, any_value(floor(n * 0.1::DOUBLE)::BIGINT) AS size FROM ones), (SELECT unnest(range(1, 6)) AS fold))",
+        "fits AS (" + FIT.format("fold", "(SELECT fold, x, y FROM starts JOIN ones ON rn < start)") + ")",
+    ),
+)
+def cross_validate_by_time(spark, d):
+    return rounded(M.cross_validate(steps_of_one(spark, d), by="time"))
+
+
 @query(
     "score_udf",
     cgm_sql(

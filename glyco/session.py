@@ -88,15 +88,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def checkpoint_path(spark: SparkSession, name: str) -> str:
+    """A new path below the checkpoint folder that ``drop_written`` knows."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4()}"
+    _WRITTEN.append(path)
+    return path
+
+
 def write_through(df: DataFrame) -> DataFrame:
     """Write a table to the checkpoint folder as Parquet and read it back.
 
     Cuts the lineage like ``checkpoint`` does, and later passes read only the columns
     they need. ``drop_written`` removes the tables when their results are stored.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4()}"
+    path = checkpoint_path(df.sparkSession, "table")
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
