@@ -162,6 +162,10 @@ def assigned(index: Index, vectors: np.ndarray, copies: int = COPIES, boundary:
     return [lists[:n].tolist() for lists, n in zip(near, np.minimum(inside.sum(1), some))]
 
 
+def kind(rows: DataFrame) -> str:
+    return rows.schema["v"].dataType.simpleString()
+
+
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """A list column, all of one length, as doubles."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -236,7 +240,7 @@ def top(found: DataFrame, k: int) -> DataFrame:
 
 def fit(rows: DataFrame, count: int) -> Index:
     """Lists fitted on at most ``SAMPLE_ROWS`` rows of lowest seeded hash; the largest length is over all rows."""
-    length = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0] ** 0.5
+    length = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()[0] ** 0.5
     sample = sample_candidates(rows, ["row"], SAMPLE_ROWS, SEED).orderBy("place", "row").limit(SAMPLE_ROWS).select("v").toArrow()
     wanted = min(MAX_LISTS, max(1, count // LIST_ROWS), max(1, sample.num_rows // 16))
     lists = 1 << (wanted.bit_length() - 1)
@@ -257,7 +261,7 @@ def assign(rows: DataFrame, index: Index) -> DataFrame:
                 part = batch.select(["row", "vec_id", "v"]).take(at)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c for x in lists for c in x], pa.int32())], ["row", "vec_id", "v", "list"])
 
-    return rows.select("row", "vec_id", "v").mapInArrow(run, "row long, vec_id long, v array<double>, list int")
+    return rows.select("row", "vec_id", "v").mapInArrow(run, f"row long, vec_id long, v {kind(rows)}, list int")
 
 
 def measured_ratio(rows: DataFrame, posted: DataFrame, index: Index, count: int, k: int, recall: float) -> float:
@@ -295,7 +299,7 @@ def probes(queries: DataFrame, index: Index, per_bundle: int) -> DataFrame:
             part = batch.select(["row", "v"]).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(bundles, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["query_row", "q", "bundle", "lists"])
 
-    return queries.select("row", "v").mapInArrow(run, "query_row long, q array<double>, bundle int, lists array<int>")
+    return queries.select("row", "v").mapInArrow(run, f"query_row long, q {kind(queries)}, bundle int, lists array<int>")
 
 
 def score_cell(asked: pa.Table, posted: pa.Table, k: int) -> pa.Table:
@@ -339,8 +343,8 @@ def search(rows: DataFrame, queries: Column, k: int = 20, recall: float = RECALL
     ``MAX_LISTS``: bundles are then cut into pieces, so no task holds a list. Equal vectors share a list and are cut
     likewise. Queries of a bundle are cut the same way, and each cell keeps ``k`` rows per query.
     """
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    plain = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(usable(F.col("v")))
+    # Vectors keep the type they are stored in until they are scored.
+    plain = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).filter(usable(F.col("v")))
     plain = write_through(plain.withColumn("row", F.monotonically_increasing_id()))
     count = plain.count()
     out = "query_id long, rank int, vec_id long, score double"
