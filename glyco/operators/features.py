@@ -6,7 +6,7 @@ exchange and one sort. A rolling window of length L is ``(t - L, t]``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
@@ -98,19 +98,84 @@ def _bolus_reach(rows: int | None, duration: float) -> dict[str, int]:
     return {"back_rows": rows} if rows else {"back_span": duration_us(f"{duration} minutes")}
 
 
-def _recent_boluses(w: WindowSpec, rows: int | None, duration: float) -> Column:
-    given = F.when(F.col(BOLUS) > 0, F.struct(F.col(T_US).alias("t"), F.col(BOLUS).alias("u")))
-    if rows is None:
-        return F.collect_list(given).over(w.rangeBetween(-duration_us(f"{duration} minutes"), -1))
-    return F.collect_list(given).over(w.rowsBetween(-rows, -1))
+class _ActiveDoses:
+    """Sums of the boluses that act at a row, as differences of running sums.
 
+    A dose at time t counts ``u * exp(k t)`` for what is left of it, and ``u`` and ``u * t`` for the
+    two straight lines of its effect. Times are taken from the start of a bucket as long as the duration, so
+    that nothing grows with the series; the doses in reach of a row lie in its bucket and the one before, which
+    even and odd sums keep apart. All terms are positive, so of two starting points (a number of rows back,
+    a time back) the larger running sum is the later one. A dose that is no finite positive number does not count.
+    """
+
+    def __init__(self, w: WindowSpec, rows: int | None, duration: float, peak: float):
+        self.width, self.duration, self.peak = duration_us(f"{duration} minutes"), duration, peak
+        bucket = F.floor(F.col(T_US) / self.width)
+        self.odd = F.pmod(bucket, F.lit(2)) == 1
+        self.since = (F.col(T_US) - bucket * self.width) / 60_000_000.0
+        self.rate = E.DECAY_CONSTANT / duration / 60.0
+        given = (F.col(BOLUS) > 0) & (F.col(BOLUS) < float("inf"))
+        dose = F.when(given, F.col(BOLUS)).otherwise(0.0)
+        terms = {"n": F.when(given, 1).otherwise(0)}
+        for side, mine in (("odd", self.odd), ("even", ~self.odd)):
+            u = F.when(mine, dose).otherwise(0.0)
+            terms |= {f"e_{side}": u * F.exp(self.since * self.rate), f"u_{side}": u, f"v_{side}": u * self.since}
+        self.terms = {f"_{name}": term for name, term in terms.items()}
+        first = Window.unboundedPreceding
+        # Without a limit rows of the same time do not count, within a number of rows those before do.
+        self.frames = {
+            "now": w.rangeBetween(first, -1) if rows is None else w.rowsBetween(first, -1),
+            "gone": w.rangeBetween(first, -self.width),
+            "past_peak": w.rangeBetween(first, -duration_us(f"{peak} minutes") - 1),
+        }
+        if rows is not None:
+            self.frames["row"] = w.rowsBetween(first, -rows - 1)
+        self.limited = rows is not None
+
+    def _names(self, on_board: bool, effect: bool) -> dict[str, list[str]]:
+        """Terms whose running sum is needed at each point."""
+        at_start = ["_n"] + [f"_{t}_{s}" for t, used in (("e", on_board), ("u", effect), ("v", effect)) if used for s in ("odd", "even")]
+        wanted = {"now": at_start, "gone": at_start, "past_peak": [n for n in at_start if n[1] in "uv"]}
+        return wanted | ({"row": at_start} if self.limited else {})
+
+    def sums(self, on_board: bool, effect: bool) -> dict[str, Column]:
+        """Running sums as columns, over ``terms``."""
+        return {
+            f"{name}_{point}": F.coalesce(F.sum(name).over(self.frames[point]), F.lit(0))
+            for point, names in self._names(on_board, effect).items()
+            for name in names
+        }
+
+    def _between(self, term: str, start: str, end: str) -> Column:
+        def at(point: str) -> Column:
+            sums = F.col(f"{term}_{point}")
+            return F.greatest(sums, F.col(f"{term}_row")) if self.limited and point != "now" else sums
+
+        return at(end) - at(start)
 
-def _active_sum(boluses: Column, fraction, duration: float) -> Column:
-    def add(total, b):
-        minutes = (F.col(T_US) - b["t"]) / 60_000_000.0
-        return total + F.when(minutes <= duration, b["u"] * fraction(minutes)).otherwise(0.0)
+    def _sides(self, term: str, start: str, end: str) -> tuple[Column, Column]:
+        """The sum in the row's own bucket and in the one before."""
+        odd, even = self._between(f"_{term}_odd", start, end), self._between(f"_{term}_even", start, end)
+        return F.when(self.odd, odd).otherwise(even), F.when(self.odd, even).otherwise(odd)
 
-    return F.aggregate(boluses, F.lit(0.0), add)
+    def on_board(self) -> Column:
+        own, before = self._sides("e", "gone", "now")
+        left = (own + before * F.exp(F.lit(-self.rate * self.duration))) * F.exp(-self.since * self.rate)
+        return F.when(self._between("_n", "gone", "now") > 0, left).otherwise(0.0)
+
+    def effect(self) -> Column:
+        def minutes(start: str, end: str) -> tuple[Column, Column]:
+            """Units, and units times minutes since they were given."""
+            (u0, u1), (v0, v1) = self._sides("u", start, end), self._sides("v", start, end)
+            return u0 + u1, u0 * self.since - v0 + u1 * (self.since + self.duration) - v1
+
+        _, rising = minutes("past_peak", "now")
+        units, falling = minutes("gone", "past_peak")
+        total = rising / self.peak + (units * self.duration - falling) / (self.duration - self.peak)
+        return F.when(self._between("_n", "gone", "now") > 0, total).otherwise(0.0)
+
+    def helpers(self, on_board: bool, effect: bool) -> list[str]:
+        return [*self.terms, *self.sums(on_board, effect)]
 
 
 def _glucose_changes(w: WindowSpec) -> dict[str, Column]:
@@ -241,9 +306,9 @@ def insulin_on_board(
 ) -> DataFrame:
     """Units of the boluses in the previous ``rows`` rows that still act; ``rows=None`` takes all within ``duration``."""
     s = Series(df, layout, **_bolus_reach(rows, duration))
-    boluses = s.df.withColumn("_b", _recent_boluses(s.window, rows, duration))
-    active = _active_sum(F.col("_b"), lambda m: E.decay_fraction(m, duration), duration)
-    return s.close(boluses.withColumn("insulin_on_board", active), "_b")
+    doses = _ActiveDoses(s.window, rows, duration, E.INSULIN_PEAK)
+    summed = s.df.withColumns(doses.terms).withColumns(doses.sums(True, False))
+    return s.close(summed.withColumn("insulin_on_board", doses.on_board()), *doses.helpers(True, False))
 
 
 def active_insulin_effect(
@@ -256,9 +321,9 @@ def active_insulin_effect(
 ) -> DataFrame:
     """Current effect of the boluses in the previous ``rows`` rows; ``rows=None`` takes all within ``duration``."""
     s = Series(df, layout, **_bolus_reach(rows, duration))
-    boluses = s.df.withColumn("_b", _recent_boluses(s.window, rows, duration))
-    active = _active_sum(F.col("_b"), lambda m: E.effect_fraction(m, duration, peak), duration)
-    return s.close(boluses.withColumn("active_insulin_effect", active), "_b")
+    doses = _ActiveDoses(s.window, rows, duration, peak)
+    summed = s.df.withColumns(doses.terms).withColumns(doses.sums(False, True))
+    return s.close(summed.withColumn("active_insulin_effect", doses.effect()), *doses.helpers(False, True))
 
 
 def insulin_ratios(df: DataFrame) -> DataFrame:
@@ -390,12 +455,13 @@ def all_features(
     )
     w = s.window
     steps = {f"{m}min": m // CADENCE_MINUTES for m in LAG_MINUTES}
-    wide = s.df.withColumns(
+    doses = _ActiveDoses(w, iob_rows, E.INSULIN_DURATION, E.INSULIN_PEAK)
+    wide = s.df.withColumns(doses.terms).withColumns(
         {
             "time_since_last_meal": _hours_since(w, meal, EVENT_DEFAULTS["meal"]),
             "time_since_last_bolus": _hours_since(w, bolus, EVENT_DEFAULTS["bolus"]),
             "time_since_last_basal": _hours_since(w, basal, EVENT_DEFAULTS["basal"]),
-            "_b": _recent_boluses(w, iob_rows, E.INSULIN_DURATION),
+            **doses.sums(True, True),
             **_insulin_sums(w, INSULIN_WINDOWS),
             **_glucose_changes(w),
             **_variability(w, INSULIN_WINDOWS),
@@ -405,13 +471,8 @@ def all_features(
             **_rolling(w, TARGET, ROLLING_WINDOWS, mean),
         }
     )
-    active = wide.withColumns(
-        {
-            "insulin_on_board": _active_sum(F.col("_b"), E.decay_fraction, E.INSULIN_DURATION),
-            "active_insulin_effect": _active_sum(F.col("_b"), E.effect_fraction, E.INSULIN_DURATION),
-        }
-    )
-    out = s.close(active, "_b", "_basal").withColumns(
+    active = wide.withColumns({"insulin_on_board": doses.on_board(), "active_insulin_effect": doses.effect()})
+    out = s.close(active, *doses.helpers(True, True), "_basal").withColumns(
         {**E.calendar(F.col(TIME)), **E.cyclical(F.col(TIME)), **_states()}
     )
     # Downstream steps see an undelivered dose as 0.

@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import expressions as E
+from ..operators.features import IOB_ROWS
 from ..schema import KEY, TARGET, TIME, duration_us
 
 
@@ -139,42 +140,74 @@ def stream_sessions(stream: DataFrame, gap: str = "24 hours", delay: str = "10 m
 
 STATE = (
     "last_meal bigint, last_bolus bigint, last_change bigint, basal double, has_basal boolean, "
-    "times array<bigint>, doses array<double>"
+    "seen bigint, times array<bigint>, doses array<double>, places array<bigint>"
 )
 STATE_OUT = (
     "participant_id {kind}, EventDateTime timestamp, time_since_last_meal double, "
     "time_since_last_bolus double, time_since_last_basal double, insulin_on_board double"
 )
-KEPT_ROWS = 100
+BEGUN = {"last_meal": None, "last_bolus": None, "last_change": None, "basal": 0.0, "has_basal": False, "seen": 0, "times": [], "doses": [], "places": []}
 
 
-def _hours(now: int, last: int | None, default: float) -> float:
-    return default if last is None else (now - last) / 3_600_000_000.0
+def _hours_since(times: np.ndarray, happened: np.ndarray, last: int | None, default: float) -> tuple[np.ndarray, int | None]:
+    """Hours since the last event at every reading (the reading itself counts), and the last event."""
+    none = np.iinfo(np.int64).min
+    latest = np.maximum.accumulate(np.where(happened, times, none))
+    latest = np.maximum(latest, none if last is None else last)
+    hours = np.where(latest == none, default, (times - latest) / 3_600_000_000.0)
+    return hours, None if latest[-1] == none else int(latest[-1])
 
 
-def _advance(state: dict, t: int, food: float, bolus: float, basal: float, duration: float) -> tuple:
-    """One reading: its outputs, and the state after it."""
-    if food > 0:
-        state["last_meal"] = t
-    if bolus > 0:
-        state["last_bolus"] = t
+def _on_board(times: np.ndarray, places: np.ndarray, given: np.ndarray, doses: np.ndarray, at: np.ndarray, duration: float, rows: int | None) -> np.ndarray:
+    """Units still on board at every reading, from the doses in order (their times, units and row numbers).
+
+    One binary search gives each reading its first and last acting dose, one running sum of decayed doses what
+    lies between. Sums start anew every few durations, so that neither they nor the exponentials grow.
+    """
+    width = int(duration * 60_000_000)
+    rate = E.DECAY_CONSTANT / duration / 60.0 / 60_000_000.0
+    first = np.searchsorted(given, times - width, "right")
+    if rows is None:
+        end = np.searchsorted(given, times, "left")  # a dose of the same time does not count yet
+    else:
+        # In rows, those before it count even at the same time; after a late reading both orders must agree.
+        first = np.maximum(first, np.searchsorted(at, places - rows, "left"))
+        end = np.minimum(np.searchsorted(given, times, "right"), np.searchsorted(at, places, "left"))
+    out = np.zeros(len(times))
+    for block in np.unique(times // (8 * width)):
+        here = np.flatnonzero((times // (8 * width) == block) & (end > first))
+        if len(here):
+            low, high = first[here].min(), end[here].max()
+            base = given[low]
+            sums = np.concatenate([[0.0], np.cumsum(doses[low:high] * np.exp(rate * (given[low:high] - base)))])
+            out[here] = (sums[end[here] - low] - sums[first[here] - low]) * np.exp(-rate * (times[here] - base))
+    return out
+
+
+def _advance(state: dict, times: np.ndarray, food: np.ndarray, bolus: np.ndarray, basal: np.ndarray, duration: float, rows: int | None, delay_us: int) -> list[np.ndarray]:
+    """The outputs of readings in time order; ``state`` is moved past them."""
+    meal, state["last_meal"] = _hours_since(times, food > 0, state["last_meal"], 24.0)
+    dose, state["last_bolus"] = _hours_since(times, bolus > 0, state["last_bolus"], 12.0)
     # A missing rate on either side is no change.
-    if not np.isnan(basal) and state["has_basal"] and abs(basal - state["basal"]) > 0.01:
-        state["last_change"] = t
-    state["has_basal"], state["basal"] = not np.isnan(basal), 0.0 if np.isnan(basal) else basal
-    minutes = (t - np.array(state["times"], dtype=float)) / 60_000_000.0
-    doses = np.array(state["doses"], dtype=float)
-    acting = (doses > 0) & (minutes < duration)
-    share = np.where(minutes <= 0, 1.0, np.exp(-E.DECAY_CONSTANT / duration / 60.0 * minutes))
-    iob = float((doses * share)[acting].sum()) if len(doses) else 0.0
-    state["times"] = (state["times"] + [t])[-KEPT_ROWS:]
-    state["doses"] = (state["doses"] + [0.0 if np.isnan(bolus) else bolus])[-KEPT_ROWS:]
-    return (
-        _hours(t, state["last_meal"], 24.0),
-        _hours(t, state["last_bolus"], 12.0),
-        _hours(t, state["last_change"], 6.0),
-        iob,
-    )
+    before = np.concatenate([[state["basal"] if state["has_basal"] else np.nan], basal[:-1]])
+    change, state["last_change"] = _hours_since(times, np.abs(basal - before) > 0.01, state["last_change"], 6.0)
+    state["has_basal"], state["basal"] = not np.isnan(basal[-1]), float(np.nan_to_num(basal[-1]))
+    places = state["seen"] + np.arange(len(times))
+    acts = (bolus > 0) & np.isfinite(bolus)
+    given = np.concatenate([np.array(state["times"], np.int64), times[acts]])
+    units = np.concatenate([np.array(state["doses"], np.float64), bolus[acts]])
+    at = np.concatenate([np.array(state["places"], np.int64), places[acts]])
+    # A late reading may have brought doses between those that were kept.
+    order = np.argsort(given, kind="stable")
+    given, units, at = given[order], units[order], at[order]
+    iob = _on_board(times, places, given, units, np.maximum.accumulate(at), duration, rows)
+    state["seen"] += len(times)
+    # Readings up to ``delay`` late may still look back from there.
+    keep = given > max(int(given.max(initial=0)), int(times[-1])) - int(duration * 60_000_000) - delay_us
+    if rows is not None:
+        keep &= at >= state["seen"] - rows
+    state["times"], state["doses"], state["places"] = given[keep].tolist(), units[keep].tolist(), at[keep].tolist()
+    return [meal, dose, change, iob]
 
 
 def stream_time_since_event(
@@ -182,36 +215,44 @@ def stream_time_since_event(
     delay: str = "10 minutes",
     duration: float = E.INSULIN_DURATION,
     forget_after_hours: int = 24 * 30,
+    rows: int | None = IOB_ROWS,
 ) -> DataFrame:
     """Hours since meal, bolus and basal change, and insulin on board, per arriving reading.
 
-    The state of a participant is three times, one rate and the last 100 doses. Readings
-    of one micro-batch are taken in time order; size micro-batches with the source's
-    ``maxFilesPerTrigger``. A silent participant is forgotten after a while.
+    ``rows`` limits insulin on board to the doses of as many earlier readings; ``rows=None`` takes all within
+    ``duration``. The state of a participant is three times, one rate and the doses that can still act, which time
+    bounds. A key's part of a micro-batch is held as four numeric arrays and taken in time order; size micro-batches
+    with the source's ``maxFilesPerTrigger``. A silent participant is forgotten after a while. A dose
+    that is no finite positive number does not act.
     """
     kind = stream.schema[KEY].dataType.simpleString()
     fields = [f.split()[0] for f in STATE.split(", ")]
     out_names = [f.split()[0] for f in STATE_OUT.split(", ")]
+    delay_us = duration_us(delay)
+    measures = ["FoodDelivered", "TotalBolusInsulinDelivered", "Basal"]
 
     def step(key, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         if group.hasTimedOut:
             group.remove()
             return
-        state = dict(zip(fields, group.get)) if group.exists else dict(zip(fields, (None, None, None, 0.0, False, [], [])))
-        state["times"], state["doses"] = list(state["times"]), list(state["doses"])
-        rows = pd.concat(list(batches)).sort_values(TIME)
-        micros = rows[TIME].astype("datetime64[us]").astype("int64").to_numpy()
-        values = rows[["FoodDelivered", "TotalBolusInsulinDelivered", "Basal"]].to_numpy(dtype=float)
-        made = [_advance(state, int(t), *v, duration) for t, v in zip(micros.tolist(), values.tolist())]
+        state = dict(zip(fields, group.get)) if group.exists else {k: list(v) if isinstance(v, list) else v for k, v in BEGUN.items()}
+        times, values = [], []
+        for batch in batches:
+            times.append(batch[TIME].astype("datetime64[us]").astype("int64").to_numpy())
+            values.append(batch[measures].to_numpy(dtype=float))
+        times, values = np.concatenate(times), np.concatenate(values)
+        order = np.argsort(times, kind="stable")
+        times, values = times[order], values[order]
+        made = _advance(state, times, *values.T, duration, rows, delay_us)
         group.update(tuple(state[f] for f in fields))
-        expiry = int(micros[-1] // 1000) + forget_after_hours * 3_600_000
+        expiry = int(times[-1] // 1000) + forget_after_hours * 3_600_000
         group.setTimeoutTimestamp(max(expiry, group.getCurrentWatermarkMs() + 1))
-        out = pd.DataFrame(made, columns=out_names[2:])
-        out.insert(0, TIME, rows[TIME].to_numpy())
+        out = pd.DataFrame(dict(zip(out_names[2:], made)))
+        out.insert(0, TIME, times.astype("datetime64[us]"))
         out.insert(0, KEY, key[0])
         yield out
 
-    slim = with_watermark(stream, delay).select(KEY, TIME, "FoodDelivered", "TotalBolusInsulinDelivered", "Basal")
+    slim = with_watermark(stream, delay).select(KEY, TIME, *measures)
     return slim.groupBy(KEY).applyInPandasWithState(
         step, STATE_OUT.format(kind=kind), STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
