@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.quantiles import quantiles
+from ..plans.quantiles import moments, quantiles
 from ..schema import numeric_columns
 
 KINDS = ("standard", "minmax", "robust")
@@ -61,23 +61,9 @@ class Scaler:
                     bounds[c] = (q1 - CLIP_IQR * (q3 - q1), q3 + CLIP_IQR * (q3 - q1), q2)
         cleaned = data.select(*[_cleaned(F.col(c), *bounds[c]).alias(c) for c in names])
         if kind in ("standard", "minmax"):
-            # (column, value) rows keep the aggregation narrow however many columns there are.
-            cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in names])
-            stats = (
-                cleaned.select(F.explode(cells).alias("_s"))
-                .groupBy("_s.c")
-                .agg(
-                    F.avg("_s.v").alias("mean"),
-                    F.stddev_pop("_s.v").alias("deviation"),
-                    F.min("_s.v").alias("low"),
-                    F.max("_s.v").alias("high"),
-                )
-                .filter(F.col("mean").isNotNull())
-                .collect()
-            )
+            stats = moments(cleaned, names)
             pairs = {
-                r["c"]: (r["mean"], r["deviation"]) if kind == "standard" else (r["low"], r["high"] - r["low"])
-                for r in stats
+                c: (mean, deviation) if kind == "standard" else (low, high - low) for c, (mean, deviation, low, high) in stats.items()
             }
         else:
             after = quantiles(cleaned, names, [0.25, 0.5, 0.75]) if clean else cuts
@@ -131,8 +117,8 @@ class Scaler:
 def _cleaned(x: Column, low: float | None, high: float | None, fill: float | None) -> Column:
     if low is None:
         return x
-    clipped = F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(high)), F.lit(low)))
-    return F.coalesce(clipped, F.lit(fill))
+    # The fill value lies within the bounds, so filling first changes nothing and reads ``x`` once.
+    return F.greatest(F.least(F.coalesce(x, F.lit(fill)), F.lit(high)), F.lit(low))
 
 
 def scale_clean(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

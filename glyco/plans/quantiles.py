@@ -1,14 +1,18 @@
-"""Exact, linearly interpolated quantiles that never gather a large column in one task.
+"""Exact, linearly interpolated quantiles by radix selection.
 
-Spark's exact ``percentile`` keeps every distinct value of a group in one map,
-which is right for small groups only. For larger groups a few rounds of
-``percentile_approx`` (bounded sketches, map-side combined) narrow each wanted
-rank to a short bracket; counting the rows below the bracket keeps the answer
-exact. A round leaves well under one row in two hundred.
+Doubles map to whole numbers of the same order. A pass counts, for every column at once, the leading 16 bits of
+the values that are still wanted; the bucket of each wanted rank is entered by the next pass, and once few
+values are left their exact counts end it. Every task adds up its counts before the shuffle, and buckets are
+chosen by a window over at most 65,536 counts, so neither a large column nor a common value meets in one task. There
+are four passes at most, each with one scan of the input, however many columns and probabilities there are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +20,9 @@ from ..session import limit
 
 GROUP_ROWS = "spark.glyco.quantiles.groupRows"
 CELLS = "spark.glyco.quantiles.cells"
-ACCURACY = 10_000
-GRID = 1_000
-KEPT = 0.006  # share of the rows a round keeps: grid step and sketch error on both sides
+DIGIT = 16
+LOW_BITS = np.int64(0x7FFFFFFFFFFFFFFF)
+COUNTS = "col int, at long, n long, low long, high long"
 
 
 def same(left: list[str], right: list[str]) -> Column:
@@ -37,80 +41,158 @@ def _lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inne
     return rows.join(renamed, same(keys, other), how).drop(*other)
 
 
-def _narrow(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Keep the rows inside each bracket; restate ``_rank`` (from 0) among them."""
-    grid = [i / GRID for i in range(GRID + 1)]
-    sketch = rows.groupBy(*keys).agg(
-        F.max("_rank").alias("_r"),
-        F.count(value).alias("_m"),
-        F.percentile_approx(value, grid, ACCURACY).alias("_g"),
-    )
-    slack = F.lit(5.0 / ACCURACY)
-    # The value at position i (from 0) of m is the quantile (i + 1) / m of a sketch.
-    lower = (F.floor("_r") + 1) / F.col("_m") - slack
-    upper = (F.ceil("_r") + 1) / F.col("_m") + slack
-    first = F.floor(lower * GRID).cast("int")
-    last = F.ceil(upper * GRID).cast("int")
-    brackets = sketch.select(
-        *keys,
-        F.when(first > 0, F.get("_g", first)).alias("_lo"),
-        F.when(last < GRID, F.get("_g", last)).alias("_hi"),
-    )
-    marked = _lookup(rows, brackets, keys)
-    below = marked.filter(F.col(value) < F.col("_lo")).groupBy(*keys).agg(F.count(value).alias("_below"))
-    inside = marked.filter(
-        F.coalesce(F.col(value) >= F.col("_lo"), F.lit(True))
-        & F.coalesce(F.col(value) <= F.col("_hi"), F.lit(True))
-    ).drop("_lo", "_hi")
-    counted = _lookup(inside, below, keys, "left")
-    return counted.withColumn("_rank", F.col("_rank") - F.coalesce("_below", F.lit(0))).drop("_below")
-
-
-def _large(df: DataFrame, by: list[str], value: str, probs: list[float], largest: int, most: int) -> DataFrame:
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    rows = (
-        _lookup(df, sizes, by)
-        .withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumn("_rank", F.col("_p") * (F.col("_n") - 1))
-        .drop("_n")
-    )
-    keys = by + ["_p"]
-    left = float(largest)
+def ordered(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the doubles; both zeros are one value and NaN is the largest."""
+    plain = np.where(np.isnan(values), np.nan, values + 0.0)
+    bits = plain.view(np.int64)
+    return np.where(bits >= 0, bits, bits ^ LOW_BITS)
+
+
+def value_of(number: int) -> float:
+    """The double of an ordered whole number."""
+    bits = np.int64(number)
+    return float((bits if bits >= 0 else bits ^ LOW_BITS).view(np.float64))
+
+
+Cells = Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]
+
+
+def _wide(names: list[str]) -> Cells:
+    """Cells of columns ``_0, _1, ...``, one per name."""
+
+    def cells(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for i in range(len(names)):
+            yield i, batch[f"_{i}"].drop_null().to_numpy(zero_copy_only=False).astype(np.float64)
+
+    return cells
+
+
+def _long(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """Cells of (``_g``, ``_v``) rows."""
+    groups, values = batch["_g"].to_numpy(), batch["_v"].to_numpy(zero_copy_only=False)
+    order = np.argsort(groups, kind="stable")
+    groups, values = groups[order], values[order]
+    for at in np.split(np.arange(len(groups)), np.flatnonzero(np.diff(groups)) + 1):
+        if len(at):
+            yield int(groups[at[0]]), values[at]
+
+
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # bits, values, least and largest of them
+
+
+def _counted(rows: DataFrame, cells: Cells, open_at: dict[int, list[int]], shift: int, next_shift: int) -> DataFrame:
+    """``col, at, n, low, high``: values by their bits above ``next_shift``, of those whose bits above ``shift`` are open.
+
+    ``shift`` 64 opens everything.
+    """
+    opened = {c: np.array(sorted(prefixes), np.int64) for c, prefixes in open_at.items()}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[Counts]] = {}
+        for batch in batches:
+            for c, values in cells(batch):
+                if c not in opened or not len(values):
+                    continue
+                numbers = ordered(values)
+                if shift < 64:
+                    prefix, mine = numbers >> shift, opened[c]
+                    numbers = numbers[mine[np.minimum(np.searchsorted(mine, prefix), len(mine) - 1)] == prefix]
+                if len(numbers):
+                    numbers = np.sort(numbers)
+                    found.setdefault(c, []).append(_added(numbers >> next_shift, np.ones(len(numbers), np.int64), numbers, numbers))
+                    if len(found[c]) == 64:
+                        found[c] = [_joined(found[c])]
+        for c, parts in found.items():
+            at, n, low, high = _joined(parts)
+            yield pa.RecordBatch.from_pydict({"col": pa.array(np.full(len(at), c, np.int32)), "at": at, "n": n, "low": low, "high": high})
+
+    return rows.mapInArrow(count, COUNTS).groupBy("col", "at").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def _added(at: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> Counts:
+    """Rows of equal bits, which follow each other, as one."""
+    first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
+    return at[first], np.add.reduceat(n, first), np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+
+
+def _joined(parts: list[Counts]) -> Counts:
+    if len(parts) == 1:
+        return parts[0]
+    at, n, low, high = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(at, kind="stable")
+    return _added(at[order], n[order], low[order], high[order])
+
+
+def select(rows: DataFrame, cells: Cells, columns: int, probs: list[float], most: int) -> dict[int, list[float]]:
+    """Quantiles of every column of cells that has values. The first pass also counts the values."""
+    spark = rows.sparkSession
+    counts = _counted(rows, cells, {c: [0] for c in range(columns)}, 64, 64 - DIGIT)
+    whole = Window.partitionBy("col")
+    seen = counts.withColumns({"end": F.sum("n").over(whole.orderBy("at")), "size": F.sum("n").over(whole)})
+    each = F.explode(F.array(*[F.lit(float(p)) for p in dict.fromkeys(probs)]))
+    place = F.col("p") * (F.col("size") - 1)
+    asked = seen.withColumn("p", each).withColumn("r", F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))))
+    began = F.col("end") - F.col("n")
+    first = asked.filter((F.col("r") < F.col("end")) & (F.col("r") >= began))
+    picked = first.select(F.col("col").alias("c"), "r", "at", "n", "low", "high", (F.col("r") - began).alias("k"), "size").collect()
+    sizes = {x["c"]: x["size"] for x in picked}
+    done: dict[tuple[int, int], float] = {}
+    shift = 64 - DIGIT
     while True:
-        rows = _narrow(rows, keys, value)
-        left *= KEPT
-        if left <= most:
-            break
-    counts = rows.groupBy(*keys, "_rank", value).agg(F.count(F.lit(1)).alias("_f"))
-    seen = F.sum("_f").over(Window.partitionBy(*keys).orderBy(value))
-    low = F.min(F.when(F.col("_c") > F.floor("_rank"), F.col(value)))
-    high = F.min(F.when(F.col("_c") > F.ceil("_rank"), F.col(value)))
-    part = F.max(F.col("_rank") - F.floor("_rank"))
-    picked = counts.withColumn("_c", seen).groupBy(*keys).agg((low + (high - low) * part).alias("_q"))
-    entries = F.map_from_entries(F.collect_list(F.struct("_p", "_q")))
-    return (
-        picked.groupBy(*by)
-        .agg(entries.alias("_e"))
-        .select(*by, F.array(*[F.element_at("_e", F.lit(float(p))) for p in probs]).alias("quantiles"))
-    )
+        # A bucket of one value, however often it occurs, is settled.
+        done |= {(x["c"], x["r"]): value_of(x["low"]) for x in picked if x["low"] == x["high"]}
+        # Every other wanted rank: its open prefix and its rank among the values with that prefix.
+        state = {(x["c"], x["r"]): (x["at"], x["k"]) for x in picked if x["low"] < x["high"]}
+        if not state:
+            return {c: _interpolated(done, c, n, probs) for c, n in sizes.items()}
+        left = {(x["c"], x["at"]): x["n"] for x in picked if x["low"] < x["high"]}
+        next_shift = 0 if sum(left.values()) <= most else shift - DIGIT
+        open_at: dict[int, list[int]] = {}
+        for c, prefix in left:
+            open_at.setdefault(c, []).append(prefix)
+        bucket = Window.partitionBy("col", "parent").orderBy("at")
+        inner = _counted(rows, cells, open_at, shift, next_shift).withColumn("parent", F.shiftright("at", shift - next_shift))
+        seen = inner.withColumn("end", F.sum("n").over(bucket))
+        wanted = [(c, p, r, k) for (c, r), (p, k) in state.items()]
+        asked = spark.createDataFrame(pa.table({name: pa.array(v, pa.int64()) for name, v in zip("cprk", zip(*wanted))}))
+        hit = (F.col("col") == F.col("c")) & (F.col("parent") == F.col("p")) & (F.col("k") < F.col("end")) & (F.col("k") >= began)
+        picked = seen.join(asked, hit).select("c", "r", "at", "n", "low", "high", (F.col("k") - began).alias("k")).collect()
+        shift = next_shift
+
+
+def _interpolated(found: dict[tuple[int, int], float], c: int, n: int, probs: list[float]) -> list[float]:
+    out = []
+    for p in probs:
+        at = p * (n - 1)
+        low, high = int(np.floor(at)), int(np.ceil(at))
+        a, b = found[c, low], found[c, high]
+        out.append(a if a == b or low == high else (high - at) * a + (at - low) * b)
+    return out
 
 
 def group_quantiles(
     df: DataFrame, by: list[str], value: str, probs: list[float], most: int | None = None
 ) -> DataFrame:
-    """``by`` columns and ``quantiles array<double>`` in the order of ``probs``."""
+    """``by`` columns and ``quantiles array<double>`` in the order of ``probs``.
+
+    Groups of up to ``most`` rows take Spark's exact percentile. There are at most rows / ``most`` larger groups; they
+    are selected side by side.
+    """
     most = most or limit(df.sparkSession, GROUP_ROWS)
     data = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     exact = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("quantiles")
     sizes = data.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest <= most:
+    large = sizes.filter(F.col("_n") > most).collect()
+    if not large:
         return data.groupBy(*by).agg(exact)
-    big = sizes.filter(F.col("_n") > most)
-    marked = _lookup(data, big, by, "left")
-    small = marked.filter(F.col("_n").isNull()).groupBy(*by).agg(exact)
-    large = _large(marked.filter(F.col("_n").isNotNull()).drop("_n"), by, "_v", probs, largest, most)
-    return small.unionByName(large)
+    fields = [df.schema[c] for c in by]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    named = df.sparkSession.createDataFrame([(*r[: len(by)], i) for i, r in enumerate(large)], f"{kinds}, _g int")
+    marked = _lookup(data, named, by, "left")
+    found = select(marked.filter("_g is not null").select("_g", "_v"), _long, len(large), probs, most)
+    picked = [(*r[: len(by)], found[i]) for i, r in enumerate(large)]
+    small = marked.filter("_g is null").groupBy(*by).agg(exact)
+    return small.unionByName(df.sparkSession.createDataFrame(picked, f"{kinds}, quantiles array<double>"))
 
 
 def quantiles(
@@ -118,25 +200,45 @@ def quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of whole columns as plain numbers (a fit, like ``approxQuantile``).
 
-    Columns become (column, value) rows, so the columns are worked on side by side. Up to a budget of cells
-    in all, each column is one group of an exact percentile; beyond it large columns are narrowed first.
+    One pass counts the values; up to ``most`` values in all wanted buckets are then counted exactly, more are
+    narrowed by 16 bits a pass first. ``df`` is scanned once per pass: write a table that is costly to compute.
+    """
+    most = most or limit(df.sparkSession, CELLS)
+    rows = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    found = select(rows, _wide(columns), len(columns), probs, most) if columns and probs else {}
+    return {c: found.get(i, [None] * len(probs)) for i, c in enumerate(columns)}
+
+
+def moments(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float, float, float]]:
+    """Mean, population deviation, least and largest value of every column that has values, in one pass.
+
+    Tasks keep a count, a mean and a sum of squared distances per column, which are merged pairwise.
     """
-    cells = most or limit(df.sparkSession, CELLS)
-    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    each = cells if sum(counts) <= cells else cells // len(columns)
-    stacked = _stacked(df, [c for c in columns if counts[c] <= each])
-    at = F.array(*[F.lit(float(p)) for p in probs])
-    found = stacked.groupBy("_name").agg(F.percentile("_v", at).alias("quantiles")).collect()  # one row per column
-    large = [c for c in columns if counts[c] > each]
-    if large:
-        biggest = max(counts[c] for c in large)
-        found += _large(_stacked(df, large), ["_name"], "_v", probs, biggest, max(each, 1)).collect()
-    known = {r["_name"]: list(r["quantiles"]) for r in found}
-    return {c: known.get(c, [None] * len(probs)) for c in columns}
-
-
-def _stacked(df: DataFrame, columns: list[str]) -> DataFrame:
-    if not columns:
-        return df.sparkSession.createDataFrame([], "_name string, _v double")
-    pairs = [F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_v")) for c in columns]
-    return df.select(F.inline(F.array(*pairs))).filter(F.col("_v").isNotNull())
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, list[float]] = {}
+        for batch in batches:
+            for c, v in _wide(columns)(batch):
+                if len(v):
+                    part = [float(len(v)), v.mean(), ((v - v.mean()) ** 2).sum(), v.min(), v.max()]
+                    kept[c] = merged(kept[c], part) if c in kept else part
+        if kept:
+            rows = list(zip(*[[c, *p] for c, p in kept.items()]))
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "col" else pa.float64()) for k, v in zip(("col", "n", "mean", "m2", "low", "high"), rows)})
+
+    def merged(a: list[float], b: list[float]) -> list[float]:
+        n, d = a[0] + b[0], b[1] - a[1]
+        return [n, a[1] + d * b[0] / n, a[2] + b[2] + d * d * a[0] * b[0] / n, min(a[3], b[3]), max(a[4], b[4])]
+
+    rows = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    parts = rows.mapInArrow(measure, "col int, n double, mean double, m2 double, low double, high double")
+    start = F.struct(*[F.lit(x).alias(k) for k, x in (("n", 0.0), ("mean", 0.0), ("m2", 0.0))])
+
+    def join(a: Column, b: Column) -> Column:
+        n, d = a["n"] + b["n"], b["mean"] - a["mean"]
+        return F.struct(n.alias("n"), (a["mean"] + d * b["n"] / n).alias("mean"), (a["m2"] + b["m2"] + d * d * a["n"] * b["n"] / n).alias("m2"))
+
+    # One entry per task and column.
+    entries = F.array_sort(F.collect_list(F.struct("n", "mean", "m2")))
+    out = parts.groupBy("col").agg(F.aggregate(entries, start, join).alias("t"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return {columns[r["col"]]: (r["t"]["mean"], (r["t"]["m2"] / r["t"]["n"]) ** 0.5, r["low"], r["high"]) for r in out.collect()}

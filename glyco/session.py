@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Methods above 8000 bytes are never compiled by the JVM; wide projections are split instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -35,11 +37,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-# Sizes up to which one task may hold a series or a group of values, and all tasks the cells of a table.
+# Sizes up to which one task may hold a series or a group of values, and up to which values are counted one by one.
 LIMITS = {
     "spark.glyco.series.maxRows": 4_000_000,
     "spark.glyco.quantiles.groupRows": 2_000_000,
-    "spark.glyco.quantiles.cells": 6_000_000,
+    "spark.glyco.quantiles.cells": 2_000_000,
 }
 
 

@@ -186,3 +186,56 @@ def test_scan_reads_only_needed_columns(spark):
     _, physical = plan_of(load_cgm(spark, UNCACHED).filter(F.col("DeviceMode") == "click").select("CarbSize"))
     assert "EqualTo(event_type,click)" in physical
     assert "props" not in physical and "user_id" not in physical
+
+
+def test_selection_against_numpy(spark):
+    """Signs, both zeros, infinities, ties, tiny and huge values, with every pass forced."""
+    import math
+    import random
+
+    import numpy as np
+
+    from glyco.plans import quantiles as Q
+
+    rng = random.Random(1)
+    values = [rng.choice([rng.gauss(0, 1), rng.gauss(0, 1e-300), rng.gauss(0, 1e300), 0.0, -0.0, 7.5, 5e-324, -5e-324]) for _ in range(4000)]
+    values += [math.inf, -math.inf, None, None]
+    df = spark.createDataFrame([(v, 1.0 if v else None, None) for v in values], "a double, b double, c double").repartition(5)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.7501, 0.999, 1.0]
+    known = sorted(v for v in values if v is not None)
+    for most in (1, 3000, None):
+        got = quantiles(df, ["a", "b", "c"], probs, most=most)
+        assert got["b"] == [1.0] * len(probs) and got["c"] == [None] * len(probs)
+        for p, q in zip(probs, got["a"]):
+            at = p * (len(known) - 1)
+            low, high = known[math.floor(at)], known[math.ceil(at)]
+            assert q == low or math.isclose(q, (math.ceil(at) - at) * low + (at - math.floor(at)) * high, rel_tol=1e-12)
+    numbers = Q.ordered(np.array(known))
+    assert (np.diff(numbers) >= 0).all() and [Q.value_of(n) for n in numbers] == known
+    assert Q.ordered(np.array([np.nan]))[0] > Q.ordered(np.array([np.inf]))[0]
+
+
+def test_passes_do_not_grow_the_plan(spark, readings, monkeypatch):
+    """Every pass scans the input once, whatever the number of rounds and probabilities."""
+    from glyco.plans import quantiles as Q
+
+    plans, counted = [], Q._counted
+
+    def spy(*args):
+        out = counted(*args)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(Q, "_counted", spy)
+    table = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    quantiles(table, ["value", "user_id"], [k / 20 for k in range(21)], most=1)
+    assert 2 <= len(plans) <= 4 and {p.count("Relation") for p in plans} == {1}
+
+
+def test_moments(spark):
+    from glyco.plans.quantiles import moments
+
+    df = spark.range(10_000).select((F.col("id") + 1e9).alias("a"), F.when(F.col("id") < 3, 2.0).alias("b"), F.lit(None).cast("double").alias("c"))
+    got = moments(df.repartition(7), ["a", "b", "c"])
+    assert got["a"] == pytest.approx((1e9 + 4999.5, (1e8 - 1) ** 0.5 / 12**0.5, 1e9, 1e9 + 9999), rel=1e-12)
+    assert got["b"] == (2.0, 0.0, 2.0, 2.0) and "c" not in got
