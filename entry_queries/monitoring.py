@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from glyco.functions import expressions as X
+from glyco.operators import asof as A
 from glyco.operators import conversations as C
+from glyco.operators import distinct as D
 from glyco.operators import explore as E
 from glyco.operators import forecast as M
 from glyco.operators import registry as G
@@ -842,4 +844,79 @@ def map_files(spark, d):
 @query("map_reduce", f"SELECT {r('max(value * 2)', 'result')} FROM events")
 def map_reduce(spark, d):
     events = spark.read.parquet(f"{d}/events.parquet").select("value")
-    return rounded(U.map_reduce(events, lambda b: b["value"] * 2, max, fan_in=8))
+    return rounded(U.map_reduce(events, lambda b: b["value"] * 2, max))
+
+
+# --- tables that meet in time, and counts that roll up ----------------------------------
+
+BOLUSES = "boluses AS (SELECT participant_id, EventDateTime AS given_at, event_id AS bolus_id, TotalBolusInsulinDelivered AS units FROM cgm WHERE TotalBolusInsulinDelivered > 0)"
+
+
+def two_tables(spark, d):
+    """The readings, and the boluses as a table of their own."""
+    df = load_cgm(spark, d)
+    boluses = df.filter("TotalBolusInsulinDelivered > 0")
+    return df.select("event_id", "participant_id", "EventDateTime"), boluses.select(
+        "participant_id", "EventDateTime", F.col("event_id").alias("bolus_id"), F.col("TotalBolusInsulinDelivered").alias("units")
+    )
+
+
+@query(
+    "asof_join",
+    cgm_sql(
+        f"SELECT event_id, coalesce(bolus_id, -1) AS bolus_id, {r('units')} FROM cgm ASOF LEFT JOIN boluses ON cgm.participant_id = boluses.participant_id AND cgm.EventDateTime >= boluses.given_at",
+        BOLUSES,
+    ),
+)
+def asof_join(spark, d):
+    readings, boluses = two_tables(spark, d)
+    return rounded(A.asof_join(readings, boluses, ["bolus_id", "units"]).select("event_id", F.coalesce("bolus_id", F.lit(-1)).alias("bolus_id"), "units"))
+
+
+@query(
+    "asof_join_ahead",
+    cgm_sql(
+        """SELECT event_id, CASE WHEN given_at - EventDateTime <= INTERVAL 3 DAY THEN bolus_id ELSE -1 END AS next_bolus_id
+        FROM cgm ASOF LEFT JOIN boluses ON cgm.participant_id = boluses.participant_id AND cgm.EventDateTime < boluses.given_at""",
+        BOLUSES,
+    ),
+)
+def asof_join_ahead(spark, d):
+    readings, boluses = two_tables(spark, d)
+    out = A.asof_join(readings, boluses, ["bolus_id"], "3 days", exact=False, direction="forward", prefix="next_")
+    return out.select("event_id", F.coalesce("next_bolus_id", F.lit(-1)).alias("next_bolus_id"))
+
+
+@query(
+    "hours_since_events",
+    cgm_sql(
+        f"SELECT event_id, {r('coalesce((epoch_us(EventDateTime) - epoch_us(given_at)) / 3600000000.0::DOUBLE, 12)', 'time_since_last_bolus')} "
+        "FROM cgm ASOF LEFT JOIN boluses ON cgm.participant_id = boluses.participant_id AND cgm.EventDateTime >= boluses.given_at",
+        BOLUSES,
+    ),
+)
+def hours_since_events(spark, d):
+    readings, boluses = two_tables(spark, d)
+    return rounded(A.hours_since_events(readings, boluses, "bolus", 12.0).select("event_id", "time_since_last_bolus"))
+
+
+GRAINS = {"day": "date_trunc('day', ts)", "week": "date_trunc('week', ts)", "all": "NULL"}
+
+
+@query(
+    "distinct_rollup",
+    "\nUNION ALL\n".join(f"SELECT '{g}' AS grain, CAST({e} AS VARCHAR)[:10] AS bucket, count(DISTINCT user_id) AS subjects FROM events GROUP BY ALL" for g, e in GRAINS.items()),
+)
+def distinct_rollup(spark, d):
+    """Subjects per day from the rows; per week and in all from the sketches of the days."""
+    from glyco.session import write_through
+
+    events = spark.read.parquet(f"{d}/events.parquet")
+    days = write_through(D.distinct_sketches(events, "user_id", {"bucket": F.date_trunc("day", "ts")}))
+    weeks = D.roll_up(days, {"bucket": F.date_trunc("week", "bucket")})
+    whole = D.roll_up(weeks).withColumn("bucket", F.lit(None).cast("timestamp_ntz"))
+    out = None
+    for grain, sketches in (("day", days), ("week", weeks), ("all", whole)):
+        part = D.estimates(sketches, "subjects").select(F.lit(grain).alias("grain"), F.substring(F.col("bucket").cast("string"), 1, 10).alias("bucket"), "subjects")
+        out = part if out is None else out.unionByName(part)
+    return out

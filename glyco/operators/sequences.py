@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.series import T_US, Layout, Series
+from ..plans.series import COPY, SLICE, T_US, Layout, Series
 from ..schema import KEY, TARGET, TIME, duration_us, numeric_columns
 
 TARGET_LOW, TARGET_HIGH = 20.0, 600.0
+BLOCK_ROWS = 256
 
 
 def steps_of(length_minutes: int, cadence_minutes: int) -> int:
@@ -35,27 +36,38 @@ def sliding_sequences(
 ) -> DataFrame:
     """``participant_id, seq_start, seq_end, x array<array<double>>, y`` per full window.
 
-    Windows that fail the checks are dropped before their arrays are built.
+    The checks run over numbers only. Then the rows are gathered once into blocks of ``BLOCK_ROWS`` that overlap by a
+    window, and the arrays of the windows that passed are cut from their block. Blocks follow the exchange
+    of the checks, and those without a window that passed are not gathered.
     """
     features = features or numeric_columns(df)
     slim = df.select(KEY, TIME, *dict.fromkeys([*features, target]))
     s = Series(slim.withColumn("_bad", _missing(features)), layout, back_rows=steps - 1, ahead_rows=horizon)
     w = s.window
     frame = w.rowsBetween(-(steps - 1), 0)
-    framed = s.df.withColumns(
-        {
-            "_rows": F.count(F.lit(1)).over(frame),
-            "_bads": F.sum("_bad").over(frame),
-            "_after": F.lead(F.lit(1), horizon).over(w),
-            "y": F.lead(F.col(target).cast("double"), horizon).over(w),
-            "seq_start": F.first(TIME).over(frame),
-            "_x": F.collect_list(F.array(*[F.col(c).cast("double") for c in features])).over(frame),
-        }
-    )
-    keep = (F.col("_rows") == steps) & F.col("_after").isNotNull()
+    keep = (F.count(F.lit(1)).over(frame) == steps) & F.lead(F.lit(1), horizon).over(w).isNotNull()
+    y = F.lead(F.col(target).cast("double"), horizon).over(w)
     if only_valid:
-        keep = keep & (F.col("_bads") == 0) & valid_target(F.col("y"), target)
-    return s.close(framed).filter(keep).select(KEY, "seq_start", F.col(TIME).alias("seq_end"), F.col("_x").alias("x"), "y")
+        keep = keep & (F.sum("_bad").over(frame) == 0) & F.coalesce(valid_target(y, target), F.lit(False))
+    marked = s.df.withColumns(
+        {"_at": F.row_number().over(w), "_keep": keep, "y": y, "seq_start": F.first(TIME).over(frame)}
+    )
+    # Copies of neighbouring slices complete windows, but theirs are cut in their own slice.
+    marked = marked.withColumn("_keep", F.col("_keep") & ~F.col(COPY)) if COPY in marked.columns else marked
+    own = F.floor((F.col("_at") - 1) / BLOCK_ROWS)
+    blocks = F.sequence(own, F.floor((F.col("_at") - 1 + steps - 1) / BLOCK_ROWS))
+    slot = [c for c in (KEY, SLICE) if c in marked.columns]
+    row = F.struct("_at", (F.col("_keep") & (own == F.col("_block"))).alias("keep"), "seq_start", F.col(TIME).alias("seq_end"), F.array(*[F.col(c).cast("double") for c in features]).alias("f"), "y")
+    dealt = marked.select(*marked.columns, F.explode(blocks).alias("_block"))
+    packed = dealt.groupBy(*slot, "_block").agg(F.array_sort(F.collect_list(row)).alias("_rows"), F.max(row["keep"]).alias("_any"))
+    first = F.get("_rows", F.lit(0))["_at"]
+
+    def window(r: Column) -> Column:
+        rows = F.slice("_rows", r["_at"] - first - (steps - 2), F.lit(steps))
+        return F.struct(r["seq_start"].alias("seq_start"), r["seq_end"].alias("seq_end"), F.transform(rows, lambda x: x["f"]).alias("x"), r["y"].alias("y"))
+
+    kept = F.transform(F.filter("_rows", lambda r: r["keep"]), window)
+    return packed.filter("_any").select(KEY, F.inline(kept))
 
 
 def valid_target(y: Column, target: str = TARGET) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import operator
 from collections.abc import Callable, Iterator
-from functools import reduce
 
+import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,31 +56,53 @@ def map_files(
     return files.mapInPandas(run, schema)
 
 
+# Python's own folds, by their vectorised forms.
+VECTORISED = {max: np.maximum, min: np.minimum, operator.add: np.add, operator.mul: np.multiply}
+Fold = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _fold(values: np.ndarray, reduce_func: Fold) -> float:
+    """Fold an array: a ufunc reduces it, any other function of two arrays folds its halves upon each other."""
+    if isinstance(reduce_func, np.ufunc):
+        return float(reduce_func.reduce(values))
+    while len(values) > 1:
+        half = len(values) // 2
+        rest = values[2 * half :]
+        values = np.concatenate([np.asarray(reduce_func(values[:half], values[half : 2 * half]), float), rest])
+    return float(values[0])
+
+
 def map_reduce(
     df: DataFrame,
     map_func: Callable[[pd.DataFrame], pd.Series],
-    reduce_func: Callable[[float, float], float],
+    reduce_func: Fold,
     fan_in: int = 256,
 ) -> DataFrame:
-    """Map rows to numbers, fold them pairwise: per partition, then per bucket, then once.
+    """Map rows to numbers and fold them pairwise in a tree. Output: one row ``result``, none for an empty table.
 
-    ``reduce_func`` must be associative and commutative. Output: one row ``result``.
+    ``reduce_func`` is a NumPy ufunc or takes two arrays, element by element, and must be associative and
+    commutative; ``max``, ``min`` and the operators for sum and product stand for their ufuncs. NULLs are left out. Each
+    batch is folded as an array, each task leaves one number, and each of the next levels folds ``fan_in`` of
+    them per group, so no task gets all of them.
     """
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for batch in batches:
-            part = reduce(reduce_func, batch["v"].tolist()) if len(batch) else None
-            if part is not None:
-                total = part if total is None else reduce_func(total, part)
-        if total is not None:
-            yield pd.DataFrame({"v": [total]})
+    fold = VECTORISED.get(reduce_func, reduce_func)
 
     def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, kept = TaskContext.get().partitionId(), []
         for batch in batches:
-            yield pd.DataFrame({"v": map_func(batch).astype(float)})
-
-    partials = df.mapInPandas(mapped, "v double").mapInPandas(fold, "v double")
-    # One number per partition is left; two coalesced levels keep any task small.
-    bucketed = partials.repartition(fan_in).mapInPandas(fold, "v double")
-    return bucketed.repartition(1).mapInPandas(fold, "v double").select(F.col("v").alias("result"))
+            values = map_func(batch).astype(float).dropna().to_numpy()
+            if len(values):
+                kept.append(_fold(values, fold))
+            if len(kept) == fan_in:
+                kept = [_fold(np.array(kept), fold)]
+        if kept:
+            yield pd.DataFrame({"at": [task], "v": [_fold(np.array(kept), fold)]})
+
+    def level(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"at": [key[0]], "v": [_fold(group["v"].to_numpy(), fold)]})
+
+    out = df.mapInPandas(mapped, "at long, v double")
+    # Task numbers are whole and below 2**31: so many levels leave one group.
+    for _ in range(math.ceil(31 / math.log2(fan_in))):
+        out = out.groupBy(F.floor(F.col("at") / fan_in).alias("at")).applyInPandas(level, "at long, v double")
+    return out.select(F.col("v").alias("result"))
