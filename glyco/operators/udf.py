@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import operator
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import KEY
+from ..sources.handles import listing, stream_files
 
 
 def apply_partitions(df: DataFrame, func: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -39,21 +41,18 @@ def apply_per_participant(
 def map_files(
     spark, path: str, func: Callable[[str, bytes], pd.DataFrame], schema: str, pattern: str = "*"
 ) -> DataFrame:
-    """``func(path, content)`` per file below ``path``."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .load(path)
-        .select("path", "content")
-    )
+    """``func(path, content)`` per file below ``path``; the task that runs it reads the file.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                yield func(name, content)
+    For files larger than a worker's memory use ``map_file_streams``.
+    """
+    return stream_files(listing(spark, path, pattern), lambda name, stream: iter([func(name, stream.read())]), schema)
 
-    return files.mapInPandas(run, schema)
+
+def map_file_streams(
+    spark, path: str, func: Callable[[str, BinaryIO], Iterator[pd.DataFrame]], schema: str, pattern: str = "*"
+) -> DataFrame:
+    """``func(path, stream)`` per file below ``path``, yielding tables while it reads."""
+    return stream_files(listing(spark, path, pattern), func, schema)
 
 
 # Python's own folds, by their vectorised forms.

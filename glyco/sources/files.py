@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 
 from ..functions.expressions import parse_time, participant_from_path
 from ..schema import CORE, KEY, NA_TOKENS, TIME
+from ..plans.ranking import sorted_index
 from ..session import write_through
+from .handles import digests, heads, listing, range_digests
 
 CSV = "*.csv"
 # Columns every export must have; the participant comes from the path.
@@ -30,19 +32,8 @@ def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 
 def probe_headers(spark: SparkSession, path: str, required: list[str] | None = None) -> DataFrame:
-    """Header, missing columns and completeness of every CSV file; only first lines are kept."""
-    lines = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", CSV)
-        .text(path)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-            "value",
-        )
-    )
-    header = lines.groupBy("path").agg(F.min_by("value", F.struct("block", "line")).alias("header"))
+    """Header, missing columns and completeness of every CSV file with a line; only the heads of the files are read."""
+    header = heads(listing(spark, path, CSV)).filter("header is not null")
     names = F.transform(F.split("header", ","), _header_cell)
     wanted = F.array(*[F.lit(c) for c in (required or REQUIRED)])
     return (
@@ -55,11 +46,7 @@ def probe_headers(spark: SparkSession, path: str, required: list[str] | None = N
 def skipped_files(spark: SparkSession, path: str, required: list[str] | None = None, pattern: str = CSV) -> DataFrame:
     """``(path, reason)`` of the files that give no readings: without a line, or without a required column."""
     probed = probe_headers(spark, path, required).select("path", "missing")
-    listed = _files(spark, path, pattern).select("path", "length")
-    # Both sources name a file alike but for escapes.
-    plain = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
-    known = probed.select(plain.alias("_file"), "missing")
-    named = listed.select("path", plain.alias("_file")).join(known, "_file", "left")
+    named = listing(spark, path, pattern).select("path").join(probed, "path", "left")
     reason = F.when(F.col("missing").isNull(), "no readable line").when(
         F.size("missing") > 0, F.concat(F.lit("missing columns: "), F.array_join("missing", ", "))
     )
@@ -69,8 +56,8 @@ def skipped_files(spark: SparkSession, path: str, required: list[str] | None = N
 def read_cgm_csv(spark: SparkSession, path: str, schema: T.StructType = CORE) -> DataFrame:
     """All CSV files below ``path`` in the core schema, extra columns kept as text.
 
-    The files are scanned twice, whatever their number and headers: once for their header lines, once for
-    their rows, whose cells are taken by the header of their own file. Only the column names reach the
+    The heads of the files are read first, then the files once, whatever their number and headers; the cells of a
+    row are taken by the header of its own file. Only the column names reach the
     driver. Missing-value tokens and unparseable values become NULL. Unreadable files are skipped
     (:func:`skipped_files` names them); it is an error when no row can be read.
     """
@@ -118,17 +105,12 @@ def _header_cell(cell: Column) -> Column:
 
 
 def file_integrity(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Size, MD5 and SHA-256 of every file.
+    """Size, MD5 and SHA-256 of every file, each streamed inside a task.
 
     Spark lists no empty files; :func:`verify_files` reports an expected file that is
     empty or missing as not intact.
     """
-    return _files(spark, path, pattern).select(
-        "path",
-        "length",
-        F.md5("content").alias("md5"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    return digests(listing(spark, path, pattern))
 
 
 def verify_files(files: DataFrame, expected: DataFrame) -> DataFrame:
@@ -143,13 +125,36 @@ def verify_files(files: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
-def folder_hash(files: DataFrame) -> DataFrame:
-    """One hash over the file hashes in path order.
+def _tree(rows: DataFrame, keys: list[str], fan: int) -> DataFrame:
+    """Fold ``keys, n, at, sha256`` (``n`` per key) to one hash per key: ``fan`` neighbours become the hash of their hashes."""
+    in_order = F.array_sort(F.collect_list(F.struct("at", "sha256")))
+    folded = F.sha2(F.concat_ws("", F.transform(in_order, lambda x: x["sha256"])), 256).alias("sha256")
+    out = None
+    while True:
+        rows = write_through(rows.groupBy(*keys, F.ceil(F.col("n") / fan).alias("n"), F.floor(F.col("at") / fan).alias("at")).agg(folded))
+        done, rows = rows.filter("n = 1").select(*keys, "sha256"), rows.filter("n > 1")
+        out = done if out is None else out.unionByName(done)
+        if rows.isEmpty():
+            return out
+
+
+def folder_hash(files: DataFrame, fan: int = 1024) -> DataFrame:
+    """``folder_sha256, n_files``: one hash over the file hashes in path order.
+
+    Up to ``fan`` files it is the hash of their joined hashes; more are folded in a tree of ``fan`` branches, a level at
+    a time, so no task holds more than ``fan`` hashes.
+    """
+    ranked, n = sorted_index(files.select("path", "sha256"), ["path"], "at")
+    return _tree(ranked.select(F.lit(n).alias("n"), "at", "sha256"), [], fan).select(F.col("sha256").alias("folder_sha256"), F.lit(n).cast("long").alias("n_files"))
+
+
+def file_trees(spark: SparkSession, path: str, pattern: str = "*", range_bytes: int = 1 << 26, fan: int = 1024) -> DataFrame:
+    """``path, tree_sha256``: a hash tree over ranges of every file, so that files of any size are hashed side by side.
 
-    One 64-character hash per file is gathered; a folder is a model's artefacts, not a table.
+    A file of one range has the hash of its hash; any change in a range changes the root.
     """
-    hashes = F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda x: x["sha256"])
-    return files.agg(F.sha2(F.concat_ws("", hashes), 256).alias("folder_sha256"), F.count(F.lit(1)).alias("n_files"))
+    ranges = range_digests(listing(spark, path, pattern), range_bytes).withColumnRenamed("part", "at")
+    return _tree(ranges, ["path"], fan).withColumnRenamed("sha256", "tree_sha256")
 
 
 def dataset_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

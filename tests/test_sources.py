@@ -145,3 +145,65 @@ def test_written_tables_can_be_dropped(spark):
     assert drop_written(spark) == 1 and drop_written(spark) == 0
     with pytest.raises(Exception):
         spark.read.parquet(path).count()
+
+
+class Counted(io.BytesIO):
+    """A stream that counts the bytes read from it."""
+
+    taken = 0
+
+    def read(self, size=-1):
+        out = super().read(size)
+        self.taken += len(out)
+        return out
+
+
+def test_probe_reads_the_head_only():
+    from glyco.sources import handles as H
+
+    stream = Counted(b"a,b\n" + b"1,2\n" * 5_000_000)
+    assert H.first_line(stream) == "a,b" and stream.taken == H.STEP
+    endless = Counted(b"x" * 3_000_000)
+    assert len(H.first_line(endless)) == H.HEAD_LIMIT == endless.taken
+    assert H.first_line(io.BytesIO(b"\r\n\r\nCGM,x\r\n1,2")) == "CGM,x"
+    assert H.first_line(io.BytesIO(b"")) is None and H.first_line(io.BytesIO(b"\n\n")) is None
+
+
+def test_hash_trees(spark, tmp_path):
+    texts = {"a.bin": b"0123456789" * 50, "b c+%.bin": b"z", "Ünï.bin": b"q" * 64}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+
+    def sha(x):
+        return hashlib.sha256(x).hexdigest()
+
+    def tree(hashes, fan):
+        while True:
+            hashes = [sha("".join(hashes[i : i + fan]).encode()) for i in range(0, len(hashes), fan)]
+            if len(hashes) == 1:
+                return hashes[0]
+
+    files = S.file_integrity(spark, str(tmp_path))
+    assert sorted((r.length, r.sha256) for r in files.collect()) == sorted((len(t), sha(t)) for t in texts.values())
+    got = {r.tree_sha256 for r in S.file_trees(spark, str(tmp_path), range_bytes=64, fan=3).collect()}
+    assert got == {tree([sha(t[i : i + 64]) for i in range(0, len(t), 64)], 3) for t in texts.values()}
+    many = spark.range(50).select(F.format_string("p%03d", "id").alias("path"), F.sha2(F.col("id").cast("string"), 256).alias("sha256"))
+    row = S.folder_hash(many, fan=4).first()
+    assert (row.folder_sha256, row.n_files) == (tree([sha(str(k).encode()) for k in range(50)], 4), 50)
+
+
+def test_file_streams(spark, tmp_path):
+    import pandas as pd
+
+    from glyco.operators.udf import map_file_streams, map_files
+
+    for k in range(3):
+        (tmp_path / f"f {k}.txt").write_text("line\n" * (1000 + k))
+
+    def lines(path, stream):
+        while part := stream.read(1024):
+            yield pd.DataFrame({"n": [part.count(b"\n")]})
+
+    assert map_file_streams(spark, str(tmp_path), lines, "n long", "*.txt").agg(F.sum("n")).first()[0] == 3003
+    sizes = map_files(spark, str(tmp_path), lambda path, content: pd.DataFrame({"n": [len(content)]}), "n long", "*.txt")
+    assert sorted(r.n for r in sizes.collect()) == [5000, 5005, 5010]
