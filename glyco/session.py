@@ -6,6 +6,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -105,10 +106,26 @@ def write_through(df: DataFrame) -> DataFrame:
     """
     path = checkpoint_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
 
 
 _WRITTEN: list[str] = []
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``write_through`` gave, once everything that reads them is stored."""
+    for table in tables:
+        path = _PATHS.pop(table)
+        _WRITTEN.remove(path)
+        _delete(table.sparkSession, path)
 
 
 def drop_written(spark: SparkSession) -> int:
@@ -118,6 +135,5 @@ def drop_written(spark: SparkSession) -> int:
     """
     count = len(_WRITTEN)
     while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _WRITTEN.pop())
     return count
