@@ -200,14 +200,19 @@ def near_groups(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> Da
 
     Documents link when their fingerprints differ in at most ``radius`` bits; component_id is the smallest
     doc_id reachable. Equal fingerprints are compared once. Null and empty texts have fingerprint zero and
-    link like any other. Rows with the same doc_id are one document with several fingerprints; a null
-    doc_id keeps its row and never names a component. Other columns are ignored; an empty table gives no rows.
+    link like any other. Rows with the same doc_id are one document with several fingerprints, which link. A row
+    without a doc_id keeps its place and links others, but never names a component: where no row has an id,
+    component_id is null. Other columns are ignored; an empty table gives no rows.
     """
     prints = write_through(fingerprints(docs, width))
-    nodes = write_through(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node")).filter("node is not null"))
-    found = write_through(components(links(nodes, radius)))
-    named = nodes.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
-    named = write_through(named)
+    nodes = write_through(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fingerprint")))
+    # Every fingerprint of a document links to the smallest one it has.
+    spread = prints.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fingerprint").alias("v"), F.max("fingerprint").alias("w"))
+    same = prints.join(spread.filter("v < w"), "doc_id").filter("fingerprint > v").select(F.col("fingerprint").alias("u"), "v").distinct()
+    found = write_through(components(write_through(links(nodes.select("node", "fingerprint"), radius).unionByName(same))))
+    grouped = write_through(nodes.join(found, "node", "left").select("fingerprint", "least", F.coalesce("component", "node").alias("group")))
+    names = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
+    named = write_through(grouped.join(names, "group").select("fingerprint", "component_id"))
     out = prints.join(named, "fingerprint", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 

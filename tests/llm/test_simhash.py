@@ -85,6 +85,51 @@ def test_groups(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values()))
 
 
+def brute_groups(pairs, radius=4):
+    """Component of every (doc_id, fingerprint): near fingerprints link, and those of one doc_id."""
+    nodes = sorted({p for _, p in pairs})
+    of_id: dict = {}
+    for i, p in pairs:
+        if i is not None:
+            of_id.setdefault(i, set()).add(p)
+    group = {p: {p} for p in nodes}
+
+    def join(a, b):
+        if group[a] is not group[b]:
+            group[a] |= group[b]
+            for p in group[b]:
+                group[p] = group[a]
+
+    for a in nodes:
+        for b in nodes:
+            if (a ^ b).bit_count() <= radius:
+                join(a, b)
+    for prints in of_id.values():
+        for p in prints:
+            join(min(prints), p)
+    return {p: min((i for i, q in pairs if i is not None and q in group[p]), default=None) for p in nodes}
+
+
+def test_ids_that_are_missing_or_reused_link(spark, monkeypatch):
+    """A row without an id bridges two documents; a document with two texts belongs to one group."""
+    rng = np.random.default_rng(11)
+    base = [int(x) for x in rng.integers(0, 1 << 62, 40)]
+    pairs = [(5, base[0]), (None, base[0] ^ 0b1111), (7, base[0] ^ 0b11111111)]  # 5 and 7 are 8 bits apart
+    pairs += [(1, base[1]), (2, base[1]), (2, base[2]), (3, base[2]), (None, base[3])]
+    for b in base[4:]:
+        start = int(rng.integers(0, 60))
+        for k in range(int(rng.integers(1, 6))):
+            i = int(rng.integers(20, 60))
+            pairs.append((None if i % 3 == 0 else i, b ^ (((1 << 4) - 1) << (start + k) % 60 if k % 2 else 0)))
+    rows_of = spark.createDataFrame([(i, p) for i, p in pairs], "doc_id long, fingerprint long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, width: docs)
+    got = simhash.near_groups(rows_of).collect()
+    want = brute_groups(pairs)
+    assert len(got) == len(pairs)
+    assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in got) == sorted((str(i), f"{p:016x}", str(want[p])) for i, p in pairs)
+    assert want[base[0] ^ 0b11111111] == 5 and want[base[2]] == 1 and want[base[3]] is None
+
+
 def test_rows_with_missing_and_reused_ids_stay(spark):
     """Only near texts go: five without a doc_id, three under one doc_id, and copies of both kinds."""
     texts = [(None, prose(80, 50 + k)) for k in range(5)] + [(7, prose(80, 60 + k)) for k in range(3)]
