@@ -40,6 +40,13 @@ class Layout:
         return _object(["conv_id", self.order, self.role, self.text])
 
 
+    def fields(self) -> list[str]:
+        """Columns of a table in this layout."""
+        if self.fixed:
+            return ["conv_id", *[f for _, fields in self.fixed for f in fields]]
+        return ["conv_id", self.turns] if self.turns else ["conv_id", self.order, self.role, self.text]
+
+
 def _object(fields: list[str]) -> str:
     return f"OBJECT<{', '.join(sorted(fields))}>"
 
@@ -61,20 +68,18 @@ def fingerprint(shape: str) -> str:
 
 
 BY_FINGERPRINT = {fingerprint(x.shape()): x for x in LAYOUTS}
-KNOWN = {"conv_id"} | {f for x in LAYOUTS for f in (x.turns, x.role, x.text, x.order, *[f for _, fields in x.fixed for f in fields]) if f}
 
 
-def shape_of(kind: T.DataType, top: bool = True) -> str:
-    """Nested field paths of a type, sorted. Fields that no layout names are left out of a table's top level."""
+def shape_of(kind: T.DataType) -> str:
+    """Nested field paths of a type, sorted."""
     if isinstance(kind, T.StructType):
         parts = []
         for f in kind.fields:
-            inner = shape_of(f.dataType, False)
-            if not top or f.name in KNOWN:
-                parts.append(f"{f.name}: {inner}" if inner else f.name)
+            inner = shape_of(f.dataType)
+            parts.append(f"{f.name}: {inner}" if inner else f.name)
         return _object(parts)
     if isinstance(kind, T.ArrayType):
-        return f"ARRAY<{shape_of(kind.elementType, False)}>"
+        return f"ARRAY<{shape_of(kind.elementType)}>"
     return ""
 
 
@@ -97,12 +102,28 @@ def _as_turns(df: DataFrame, layout: Layout) -> DataFrame:
     return df.select("conv_id", F.col(layout.order).cast("long").alias("turn"), _rename(F.col(layout.role), layout).alias("role"), text(F.col(layout.text)).alias("text"))
 
 
+def layout_of(schema: T.StructType) -> Layout:
+    """The layout whose columns a table has, whatever other columns stand beside them.
+
+    The shape of each layout's own columns is hashed. Of several that match, the one with most fields is taken, of
+    equal ones the first in ``LAYOUTS``.
+    """
+    found = []
+    for layout in LAYOUTS:
+        own = shape_of(T.StructType([f for f in schema.fields if f.name in layout.fields()]))
+        if BY_FINGERPRINT.get(fingerprint(own)) is layout:
+            found.append((own.count(","), layout))
+    if not found:
+        raise ValueError(f"no layout has the fields {shape_of(schema)}")
+    return max(found, key=lambda x: x[0])[1]
+
+
 def canonical(df: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) of a table in any known layout, picked by the fingerprint of its schema."""
-    shape = shape_of(df.schema)
-    if fingerprint(shape) not in BY_FINGERPRINT:
-        raise ValueError(f"no layout has the fields {shape}")
-    return _as_turns(df, BY_FINGERPRINT[fingerprint(shape)])
+    """(conv_id, turn, role, text) of a table in any known layout, picked by the fingerprint of its schema.
+
+    Other columns are ignored, also where another layout names them.
+    """
+    return _as_turns(df, layout_of(df.schema))
 
 
 def canonical_json(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:

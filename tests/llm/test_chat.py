@@ -56,6 +56,19 @@ def test_layouts_are_told_apart_by_fingerprint(spark):
         chat.canonical(spark.createDataFrame([(1, "x")], "conv_id long, story string"))
 
 
+def test_extra_columns_of_other_layouts_change_nothing(spark):
+    """Turn rows stay turn rows beside columns that other layouts name."""
+    rows = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a")], "conv_id long, turn long, role string, text string")
+    want = sorted(tuple(r) for r in chat.canonical(rows).collect())
+    for extra in (["system"], ["prompt"], ["input"], ["messages"], ["prompt", "response", "system"], ["instruction", "output", "input", "value"]):
+        wide = rows.withColumns({c: F.lit("x") for c in extra})
+        assert sorted(tuple(r) for r in chat.canonical(wide).collect()) == want
+    nested = rows.withColumn("messages", F.array(F.struct(F.lit("user").alias("role"), F.lit("no").alias("content"))))
+    assert sorted(tuple(r) for r in chat.canonical(nested).collect()) == want
+    prompt = spark.createDataFrame([(1, "q", "a", "s", "w")], "conv_id long, prompt string, response string, system string, turn string")
+    assert [r.role for r in chat.canonical(prompt).orderBy("turn").collect()] == ["system", "user", "assistant"]
+
+
 def test_json_records_may_mix_layouts(spark):
     records = [
         json.dumps({"conv_id": 1, "messages": [{"role": "user", "content": "q1"}, {"role": "assistant", "content": "a1"}]}),
