@@ -199,11 +199,27 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Compiled:
     return Compiled(rules, determinise(machine, starts, ends, True), whole, reverse, heads)
 
 
-def _furthest(machine: Automaton, data: bytes, at: int, stop: int) -> int:
-    """Where the longest match that begins at ``at`` and runs towards ``stop`` ends; -1 without one."""
+class Memo:
+    """What the last long run of an automaton found: its state at every place, and the match end it came to."""
+
+    def __init__(self, size: int) -> None:
+        self.state = np.full(size + 1, -1, np.int32)
+        self.best = np.full(size + 1, -1, np.int64)
+
+
+SHORT = 16  # bytes that a run reads before it is remembered
+
+
+def _furthest(machine: Automaton, data: bytes, at: int, stop: int, memo: dict | None = None, name: object = None) -> int:
+    """Where the longest match that begins at ``at`` and runs towards ``stop`` ends; -1 without one.
+
+    Long runs are kept in ``memo`` under ``name``: a run that comes to a place in the state of one before would
+    read the same bytes to the same end, so rules that begin again and again stay linear in the text.
+    """
     step, state = (1 if stop >= at else -1), 0
     best = at if machine.accepts[0] else -1
     table, classes, accepts = machine.table, machine.classes, machine.accepts
+    begun, kept, states = at, None, []
     while at != stop:
         state = table[state, classes[data[at if step > 0 else at - 1]]]
         if state == machine.dead:
@@ -211,6 +227,17 @@ def _furthest(machine: Automaton, data: bytes, at: int, stop: int) -> int:
         at += step
         if accepts[state]:
             best = at
+        if memo is not None and abs(at - begun) > SHORT:
+            if kept is None:
+                kept = memo[name] = memo.get(name) or Memo(len(data))
+            if kept.state[at] == state:
+                best = int(kept.best[at]) if kept.best[at] >= 0 else best
+                break
+            states.append(state)
+    if states:
+        places = begun + step * np.arange(SHORT + 1, SHORT + 1 + len(states))
+        kept.state[places] = states
+        kept.best[places] = np.where((best - places) * step >= 0, best, -1) if best >= 0 else -1
     return best
 
 
@@ -236,15 +263,15 @@ class Scanner:
                 events.append((at, row[-1]))
         if not events:
             return []
-        free, out = [0] * len(self.compiled.rules), []
+        free, out, memo = [0] * len(self.compiled.rules), [], {}
         for at, mask in events:
             for r in self.bits[mask]:
                 if at <= free[r]:
                     continue
-                start = _furthest(self.compiled.reverse[r], data, at, free[r])
+                start = _furthest(self.compiled.reverse[r], data, at, free[r], memo, ("start", r))
                 if start < 0:
                     continue
-                end = _furthest(self.compiled.whole[r], data, start, len(data))
+                end = _furthest(self.compiled.whole[r], data, start, len(data), memo, ("end", r))
                 if end < 0:
                     continue
                 free[r] = end
