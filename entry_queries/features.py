@@ -330,7 +330,14 @@ def engineer_features(spark, d):
     return rounded(df.select(BASE, *X.ALL_FEATURES))
 
 
-@query("feature_groups")
+COVERAGE = "\nUNION ALL\n".join(
+    f"SELECT '{name}' AS feature, '{family}' AS family, count(*) - count({name}) AS missing, {r(f'(count(*) - count({name})) * 100.0::DOUBLE / count(*)', 'percentage')} FROM features"
+    for family, names in X.FAMILIES.items()
+    for name in names
+)
+
+
+@query("feature_groups", cgm_sql(COVERAGE, READY, SHORT, FEATURES))
 def feature_groups(spark, d):
     from pyspark.sql import functions as F
 

@@ -239,3 +239,33 @@ def test_moments(spark):
     got = moments(df.repartition(7), ["a", "b", "c"])
     assert got["a"] == pytest.approx((1e9 + 4999.5, (1e8 - 1) ** 0.5 / 12**0.5, 1e9, 1e9 + 9999), rel=1e-12)
     assert got["b"] == (2.0, 0.0, 2.0, 2.0) and "c" not in got
+
+
+def test_sequences_follow_the_exchange_of_their_checks(readings):
+    """One exchange; rows are gathered in an aggregation behind it, not by a window for every row."""
+    import re
+
+    plan = S.sliding_sequences(readings, ["CGM", "Basal"], steps=12, layout=Layout())._jdf.queryExecution().executedPlan().toString()
+    plan = plan[: plan.index("InMemoryTableScan")]
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert not [line for line in plan.splitlines() if re.search(r"\bWindow \[", line) and "collect_list" in line]
+
+
+@pytest.mark.parametrize("steps, horizon", [(1, 1), (3, 2), (300, 5)])
+def test_sequences_against_a_loop(spark, steps, horizon):
+    """Blocks shorter and longer than a window, for valid windows only."""
+    import random
+
+    rng = random.Random(steps)
+    rows = [("a" if k % 3 else "b", k, rng.choice([None] + [100.0 + k] * 60), float(k)) for k in range(1500)]
+    df = spark.createDataFrame(rows, "participant_id string, s int, CGM double, f double")
+    df = df.select("participant_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("EventDateTime"), "CGM", "f")
+    want = []
+    for key in ("a", "b"):
+        mine = [r for r in rows if r[0] == key]
+        for i in range(steps - 1, len(mine) - horizon):
+            part, y = mine[i - steps + 1 : i + 1], mine[i + horizon][2]
+            if y is not None and y <= 600 and all(r[2] is not None for r in part):
+                want.append((key, [[r[2], r[3]] for r in part], y))
+    got = [(r.participant_id, r.x, r.y) for r in S.sliding_sequences(df, ["CGM", "f"], steps=steps, horizon=horizon).collect()]
+    assert sorted(got) == sorted(want)
