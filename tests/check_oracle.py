@@ -60,7 +60,8 @@ def same_row(x: tuple, y: tuple) -> bool:
         if a == b:
             return True
         try:
-            return "." in a and "." in b and abs(float(a) - float(b)) <= 1.5e-6
+            # pandas holds whole numbers beside missing ones as floats.
+            return float(a) == float(b) or ("." in a and "." in b and abs(float(a) - float(b)) <= 1.5e-6)
         except ValueError:
             return False
 
