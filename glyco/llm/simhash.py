@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -25,22 +26,74 @@ BLOCK_ROWS = 8192  # rows of one block; larger blocks are compared in pairs of c
 SLICE = 1 << 16  # hash values, or pairs of a row and a 64-row word, worked on at once
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
+# Texts near by word shingles: long fingerprints, blocks by min-hash bands.
+SHINGLE = 5  # words
+SIMILARITY = 0.8  # Jaccard of the sets of shingles
+LONG_WORDS = 16  # 64-bit words of a long fingerprint
+BANDS, BAND_ROWS = 10, 4  # two texts of similarity 0.8 share a band in 0.995 of all cases
+PART = 1 << 12  # shingle hashes whose bits are unpacked at once
+SLACK = 1.5  # standard deviations that the radius leaves above the distance expected at the similarity
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """Unsigned SimHash: a bit is set if more than half of the shingle hashes have it."""
+
+def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles, repeats included; a shorter text is one shingle, one without words has none."""
     words = (text or "").encode().lower().split()  # on bytes both touch ASCII only
     if not words:
-        return 0
+        return
     body = b" ".join(words)
     last = np.cumsum([len(w) + 1 for w in words]) - 1
     first = np.concatenate(([0], last[:-1] + 1))
     span = min(width, len(words))
     starts, ends = first[: len(words) - span + 1].tolist(), last[span - 1 :].tolist()
-    ones, hashed = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
+    hashed = xxhash.xxh64_intdigest
     for at in range(0, len(starts), SLICE):
-        h = np.array([hashed(body[s:e], HASH_SEED) for s, e in zip(starts[at : at + SLICE], ends[at : at + SLICE])], dtype="<u8")
+        yield np.array([hashed(body[s:e], HASH_SEED) for s, e in zip(starts[at : at + SLICE], ends[at : at + SLICE])], dtype="<u8")
+
+
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    """Unsigned SimHash: a bit is set if more than half of the shingle hashes have it."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    for h in shingle_hashes(text, width):
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
+        n += len(h)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
+def _mixed(h: np.ndarray, lanes: int, first: int) -> np.ndarray:
+    """``lanes`` further hashes of each hash; ``first`` numbers the hash functions."""
+    x = h[:, None] + np.arange(first, first + lanes, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def long_fingerprint(text: str | None, width: int = SHINGLE) -> tuple[bytes, list[int]]:
+    """SimHash of ``LONG_WORDS`` words over the distinct shingles, and a signed key for each min-hash band.
+
+    A text without words has the fingerprint zero and zero keys.
+    """
+    found = list(shingle_hashes(text, width))
+    if not found:
+        return bytes(8 * LONG_WORDS), [0] * BANDS
+    h = np.unique(np.concatenate(found))
+    ones, least = np.zeros(BITS * LONG_WORDS, np.int64), np.full(BANDS * BAND_ROWS, ALL)
+    for at in range(0, len(h), PART):
+        part = h[at : at + PART]
+        bits = np.unpackbits(_mixed(part, LONG_WORDS, 1).astype("<u8").view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+        for k in range(0, len(part), 255):  # sums of so many bits fit a byte
+            ones += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
+        least = np.minimum(least, _mixed(part, len(least), 1 + LONG_WORDS).min(axis=0))
+    keys = [xxhash.xxh64_intdigest(band.tobytes()) for band in least.astype("<u8").reshape(BANDS, BAND_ROWS)]
+    return np.packbits(2 * ones > len(h), bitorder="little").tobytes(), [k - (1 << 64) if k >> 63 else k for k in keys]
+
+
+def radius_of(similarity: float, bits: int = BITS * LONG_WORDS) -> int:
+    """Differing bits up to which long fingerprints count as of ``similarity`` or more.
+
+    Texts of Jaccard J have a cosine of 2J / (1 + J), so each bit differs with the probability p = angle / pi.
+    """
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return int(bits * p + SLACK * math.sqrt(bits * p * (1 - p)))
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -56,9 +109,9 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def bit_planes(prints: np.ndarray) -> np.ndarray:
     """Row b holds bit b of all fingerprints, 64 fingerprints in a word."""
-    bits = np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
     words = -(-len(prints) // BITS)
-    padded = np.zeros((BITS, words * BITS), np.uint8)
+    padded = np.zeros((bits.shape[1], words * BITS), np.uint8)
     padded[:, : len(prints)] = bits.T
     return np.packbits(padded, axis=1, bitorder="little").view("<u8")
 
@@ -66,10 +119,12 @@ def bit_planes(prints: np.ndarray) -> np.ndarray:
 def close_pairs(prints: np.ndarray, ends: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs i < j of one block within ``radius``; ``ends[i]`` is where the block of row i ends.
 
+    ``prints`` holds one 64-bit word a row, or several as columns.
     Each row is compared with whole words of 64 rows at once: two bit planes at a time enter a carry-save
     adder, whose carries run up a counter of bit slices. Every eight planes the words in which all 64
     distances exceed the radius are abandoned.
     """
+    prints = prints.reshape(len(prints), -1)
     planes = bit_planes(prints)
     row = np.arange(len(prints))
     first, words = (row + 1) // BITS, np.maximum(0, -(-ends // BITS) - (row + 1) // BITS)
@@ -85,8 +140,9 @@ def close_pairs(prints: np.ndarray, ends: np.ndarray, radius: int = RADIUS) -> I
         lanes = (ALL << low) & (ALL >> high)
         counter = [np.zeros(len(task), np.uint64) for _ in range(steps)]
         over = ~lanes
-        for b in range(0, BITS, 2):
-            x, y = (planes[p][word] ^ (np.uint64(0) - ((prints[i] >> np.uint64(p)) & np.uint64(1))) for p in (b, b + 1))
+        for b in range(0, len(planes), 2):
+            own = prints[i, b // BITS]
+            x, y = (planes[p][word] ^ (np.uint64(0) - ((own >> np.uint64(p % BITS)) & np.uint64(1))) for p in (b, b + 1))
             half = counter[0] ^ x
             carry = (counter[0] & x) | (half & y)
             counter[0] = half ^ y
@@ -155,6 +211,25 @@ def links(prints: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, blo
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     bands = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col("fingerprint").bitwiseAND(F.lit(m).cast("long")).alias("key")) for k, m in enumerate(signed)]))
     banded = write_through(prints.select("node", "fingerprint", bands.alias("b")).select("node", "fingerprint", "b.*"))
+    return banded_links(banded, radius, block_rows)
+
+
+def band_links(prints: DataFrame, radius: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Links (u, v) between ``node`` values that share one of their ``keys`` and are within ``radius``.
+
+    ``fingerprint`` is binary. Nodes that share no key with another are left out before fingerprints move.
+    """
+    keyed = write_through(prints.select("node", F.posexplode("keys").alias("band", "key")))
+    shared = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = write_through(keyed.join(shared, ["band", "key"]))
+    # One row a node leaves this aggregation, so the fingerprints move once.
+    bands = met.groupBy("node").agg(F.collect_list(F.struct("band", "key")).alias("bands"))  # at most BANDS
+    banded = bands.join(prints.select("node", "fingerprint").hint("merge"), "node").select("node", "fingerprint", F.inline("bands"))
+    return banded_links(write_through(banded), radius, block_rows)
+
+
+def banded_links(banded: DataFrame, radius: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Links inside the blocks of equal (``band``, ``key``), enough to connect all within ``radius`` there."""
     sizes = banded.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     sizes = write_through(sizes.select("band", "key", F.ceil(F.col("n") / block_rows).cast("int").alias("chunks")))
     chunk = F.pmod(F.xxhash64("fingerprint"), F.col("chunks")).cast("int")
@@ -164,17 +239,25 @@ def links(prints: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, blo
     block = ["band", "key", "low", "high"]
     dealt = dealt.select(*block, "node", "fingerprint").repartition(*block).sortWithinPartitions(*block)
 
+    long = banded.schema["fingerprint"].dataType.typeName() == "binary"
+    wide = LONG_WORDS if long else 1
+
+    def prints_of(column: pa.Array) -> np.ndarray:
+        if long:
+            return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, wide)
+        return column.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 6
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 5 + [np.zeros((0, wide), np.uint64)]
 
         def told(rows: list[np.ndarray]) -> pa.RecordBatch:
             starts = _starts(rows)
             ends = np.repeat(np.append(starts[1:], len(rows[0])), np.diff(np.append(starts, len(rows[0]))))
-            u, v = block_links(rows[4], rows[5].view(np.uint64), ends, radius)
+            u, v = block_links(rows[4], rows[5], ends, radius)
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         for batch in batches:
-            new = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            new = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:5]] + [prints_of(batch.column(5))]
             held = [np.concatenate(x) for x in zip(held, new)]
             cut = int(_starts(held)[-1]) if len(held[0]) else 0  # the last block may go on
             if cut >= SLICE:
@@ -238,3 +321,33 @@ def drop_near(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> Data
     best = nodes.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("row").alias("row"))
     kept = write_through(best.select(solid(F.col("row.doc_id")).alias("_id"), F.col("row._sha").alias("_sha")))
     return staying(marked, kept, ["_id", "_sha"])
+
+
+def drop_similar(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns: one of each group of texts of ``similarity`` or more.
+
+    Similarity is the Jaccard of the sets of ``width``-word shingles, ASCII letters lower-cased, estimated by the
+    distance of long SimHash fingerprints; compared are the texts that share a min-hash band. Links are
+    transitive. The row of the smallest doc_id stays, a null one only where the group has no other; equal texts
+    under one doc_id leave one row, rows without a doc_id or with different texts under one stay apart. Null
+    texts and texts without words are one group. Other columns may have any name; an empty table gives no rows.
+    """
+    own = [c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(docs.columns)]  # clashes with no added column
+    marked = docs.toDF(*own).withColumn("_id", solid(F.col("doc_id"))).withColumn("_sha", F.sha2(F.encode(whole(F.col("text")), "UTF-8"), 256))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [long_fingerprint(t, width) for t in batch.column(2).to_pylist()]
+            prints, keys = pa.array([f for f, _ in found], pa.binary()), pa.array([k for _, k in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints, keys], names=["doc_id", "_sha", "fingerprint", "keys"])
+
+    schema = "doc_id long, _sha string, fingerprint binary, keys array<long>"
+    prints = write_through(marked.select(F.col("doc_id").cast("long"), "_sha", "text").mapInArrow(run, schema))
+    # Of each fingerprint the row that would stay; its number, written once, is the node.
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_sha")
+    nodes = prints.groupBy("fingerprint", "keys").agg(F.min(row).alias("row"))
+    nodes = write_through(nodes.withColumn("node", F.monotonically_increasing_id()))
+    found = write_through(components(band_links(nodes, radius_of(similarity))))
+    best = nodes.select("node", "row").join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("row").alias("row"))
+    kept = write_through(best.select(solid(F.col("row.doc_id")).alias("_id"), F.col("row._sha").alias("_sha")))
+    return staying(marked, kept, ["_id", "_sha"]).toDF(*docs.columns)
