@@ -6,12 +6,10 @@ return the columns of ``documents``; the mixture repeats a document that it take
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from glyco.llm import exact, mixing, packing, quality, simhash
-from glyco.session import checkpoint_dir
+from glyco.session import write_through
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +23,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group."""
-    return simhash.drop_near(docs)
+    """One document of each group of texts of Jaccard 0.8 or more in 5-word shingles."""
+    return simhash.drop_similar(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; ``drop_written`` deletes their tables.
+
+    A missing text counts as empty, fails the quality rules and goes, as texts of fewer than 20 words do. Of tied or
+    repeated rows each stage keeps what its operator says. Extra columns of any name pass through all stages but the
+    last. An empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
-    for number, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES:
+        docs = write_through(stage(spark, docs, sf_dir))
     return docs
