@@ -16,7 +16,9 @@ WINDOW = 8  # words of a repeated window
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # per cent of words in repeated windows
 SAMPLE_DOCS = 300  # labelled documents of each class that the model is fitted on
-SAMPLE_LINES = 50  # lines of such a document
+SAMPLE_LINES = 60  # lines of such a document, spread evenly over the whole text
+USUAL = 0.99  # share of the good documents' lines that a usual line's feature does not exceed
+FLAGGED = (2, 3, 5, 6)  # features that speak against a line: symbols, capitals, repeated, shouts
 CONTENT_SHARE = 0.5
 SEED = 42
 SYMBOLS = b"#*$%&|<>"
@@ -112,18 +114,39 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
-def fit_crf(sequences: list[np.ndarray], labels: list[int], steps: int = 100, rate: float = 0.1, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def line_labels(sequences: list[np.ndarray], labels: list[int]) -> list[np.ndarray]:
+    """A label for each line: content, unless it repeats in its text or a feature against it is unusual.
+
+    Unusual is what exceeds the ``USUAL`` share of the lines of good documents. A bad document without any such
+    line is bad as a whole, so all its lines are boilerplate; a good one in which they are a quarter or more is
+    good as a whole, as tables and code are.
+    """
+    good = np.concatenate([s for s, k in zip(sequences, labels) if k == CONTENT])[:, FLAGGED]
+    most = np.quantile(good, USUAL, axis=0)
+    told = []
+    for s, k in zip(sequences, labels):
+        odd = (s[:, FLAGGED] > most).any(axis=1) | (s[:, 5] > 0)
+        mixed = odd.any() if k != CONTENT else 4 * odd.sum() < len(s)
+        told.append(np.where(odd, 0, CONTENT) if mixed else np.full(len(s), k))
+    return told
+
+
+def fit_crf(sequences: list[np.ndarray], labels: list[np.ndarray], classes: list[int], steps: int = 250, rate: float = 0.1, penalty: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights (features x 2) and transitions (2 x 2) of greatest likelihood, by Adam.
 
-    Every line of a document carries the document's label. All documents advance together, one line a
-    step, through the forward and backward recursions; classes weigh the same.
+    ``labels`` holds one label a line. All documents advance together, one line a step, through the forward
+    and backward recursions; the documents of both ``classes`` weigh the same.
     """
     longest, docs = max(map(len, sequences)), len(sequences)
     x, real = np.zeros((docs, longest, FEATURES)), np.zeros((docs, longest), bool)
     for d, s in enumerate(sequences):
         x[d, : len(s)], real[d, : len(s)] = s, True
-    y = np.array(labels)
+    y = np.array(classes)
     share = np.array([1 / max(1, (y == k).sum()) for k in (0, 1)])[y]
+    told, seen = np.zeros((docs, longest, 2)), np.zeros((2, 2))
+    for d, line in enumerate(labels):
+        told[d, np.arange(len(line)), line] = 1.0
+        np.add.at(seen, (line[:-1], line[1:]), share[d])
     params = np.zeros(FEATURES * 2 + 4)
     first, second = np.zeros_like(params), np.zeros_like(params)
     last = real.sum(axis=1) - 1
@@ -141,11 +164,7 @@ def fit_crf(sequences: list[np.ndarray], labels: list[int], steps: int = 100, ra
         norm = _logsum(ahead[np.arange(docs), last], 1)
         at = np.exp(ahead + behind - norm[:, None, None]) * real[:, :, None]
         pair = np.exp(ahead[:, :-1, :, None] + t + (s + behind)[:, 1:, None, :] - norm[:, None, None, None]) * inner[:, :, None, None]
-        told = np.zeros((docs, longest, 2))
-        told[np.arange(docs), :, y] = real
         grad_w = np.einsum("d,dlf,dlk->fk", share, x, told - at)
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (y, y), share * inner.sum(axis=1))
         grad_t = seen - np.einsum("d,dlij->ij", share, pair)
         grad = np.concatenate((grad_w.ravel(), grad_t.ravel())) - penalty * params
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
@@ -167,7 +186,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [line_features(t or "")[0][:SAMPLE_LINES].ravel().tolist() for t in batch.column(1).to_pylist()]
+            found = [spread(line_features(t or "")[0]).ravel().tolist() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "lines"])
 
     if len(set(chosen.values())) < 2:
@@ -178,7 +197,17 @@ def fit_model(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS
     answers = [chosen[d] for d, _ in rows]
     if len(set(answers)) < 2:
         return None
-    return fit_crf([np.array(x).reshape(-1, FEATURES) for _, x in rows], answers)
+    sequences = [np.array(x).reshape(-1, FEATURES) for _, x in rows]
+    return fit_crf(sequences, line_labels(sequences, answers), answers)
+
+
+def spread(lines: np.ndarray, most: int = SAMPLE_LINES) -> np.ndarray:
+    """At most ``most`` lines of a text: runs of neighbouring lines, evenly spread from the first to the last."""
+    if len(lines) <= most:
+        return lines
+    run = 20
+    firsts = np.linspace(0, len(lines) - run, most // run).astype(int)
+    return lines[np.unique((firsts[:, None] + np.arange(run)).ravel())]
 
 
 def assess(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, content_share: float = CONTENT_SHARE) -> DataFrame:

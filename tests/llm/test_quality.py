@@ -65,9 +65,44 @@ def test_verdicts_on_held_out_labels(spark):
     judged = quality.assess(docs.select("doc_id", "text"), model).join(held, "doc_id").filter("not base_failed").collect()
     good, bad = [r.kept for r in judged if r.quality == 1], [r.kept for r in judged if r.quality == 0]
     assert sum(good) >= 0.98 * len(good) and len(good) > 50
+    # Lines of one text part ways: prose above and below a block of shouts and marks, as much and more of it.
+    clean = [r.text for r in docs.join(held, "doc_id").filter("quality = 1 and toxic = 0").orderBy("doc_id").limit(40).collect()]
+    junk = ["BUY NOW!! BEST PRICE!! CLICK HERE!!", "a### b$$$ c%%% d&&& e### f$$$ g%%%"] * 6
+    apart = 0
+    for text in clean:
+        prose_lines = [x for x in text.split("\n") if len(x.split()) >= 5 and x.upper() != x and not set(x) & set("|#$%&*!<>")]
+        lines = prose_lines + [f"{x} {k}" for k, x in enumerate(junk)] + prose_lines[::-1]
+        x, sizes = quality.line_features("\n".join(lines))
+        marks = quality.viterbi(x @ model[0], model[1])
+        inside, n = marks[len(prose_lines) : len(prose_lines) + len(junk)], len(prose_lines)
+        apart += n > 1 and not inside.any() and marks[:n].mean() >= 0.9
+        # Without a change of label at such a block, the text would be of one label.
+    assert apart >= 0.8 * sum(len([x for x in t.split("\n") if len(x.split()) >= 5]) > 1 for t in clean)
     assert sum(bad) <= 0.2 * len(bad) and len(bad) > 5
 
 
+def test_line_labels():
+    usual = np.tile([1.0, 0.4, 0, 0.1, 0, 0, 0, 1, 0.9, 0, 0], (50, 1))
+    marked, again = usual.copy(), usual.copy()
+    marked[7, 2], again[9, 5] = 0.9, 1.0  # a line of symbols, a repeated line
+    shouting, whole = usual[:10].copy(), usual[:10].copy()
+    shouting[4:, 6] = 1.0
+    table = usual[:8].copy()
+    table[:4, 2] = 0.9  # a good text with many such lines
+    # Of 708 good lines five are of symbols, fewer than the share that counts as usual.
+    got = quality.line_labels([marked, again, table, *[usual] * 12, shouting, whole], [1] * 15 + [0, 0])
+    assert np.flatnonzero(got[0] == 0).tolist() == [7] and np.flatnonzero(got[1] == 0).tolist() == [9]
+    assert all(x.all() for x in got[2:15])
+    assert got[15].tolist() == [1] * 4 + [0] * 6 and not got[16].any()
+
+
+def test_sampled_lines_span_the_text():
+    lines = np.arange(1000.0)[:, None]
+    got = quality.spread(lines, 60).ravel()
+    assert len(got) == 60 and got[0] == 0 and got[-1] == 999 and got[20] > 300
+    assert quality.spread(lines[:60], 60).shape == (60, 1)
+
+
 def test_fit_is_repeatable(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
     a, b = quality.fit_model(docs, labels), quality.fit_model(docs.repartition(5), labels.repartition(3))
