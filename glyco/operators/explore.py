@@ -95,14 +95,18 @@ def overnight_rise(df: DataFrame, start_hour: int = 3, end_hour: int = 6) -> Dat
 def basal_bg_correlation(df: DataFrame, *, layout: Layout | None = None, carry: bool = True) -> DataFrame:
     """Pearson correlation of basal rate and glucose per participant.
 
-    With ``carry`` the last known basal rate is used for a reading that has none.
+    With ``carry`` the last known basal rate is used for a reading that has none. The correlation is null
+    where either measure is constant, as it is for a single pair.
     """
     if carry:
         s = Series(df.select(KEY, TIME, "Basal", TARGET), layout, carry_back=[F.col("Basal").isNotNull()])
         last = F.last("Basal", ignorenulls=True).over(s.window.rowsBetween(Window.unboundedPreceding, 0))
         df = s.close(s.df.withColumn("Basal", last))
     pairs = df.filter(F.col("Basal").isNotNull() & F.col(TARGET).isNotNull())
-    return pairs.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.corr("Basal", TARGET).alias("correlation"))
+    # ``corr`` divides by the spread and fails under ANSI rules where that is zero.
+    spread = F.stddev_pop("Basal") * F.stddev_pop(TARGET)
+    correlation = F.try_divide(F.covar_pop("Basal", TARGET), spread).alias("correlation")
+    return pairs.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), correlation)
 
 
 def daily_statistics(df: DataFrame, hyper: float = E.HYPER) -> DataFrame:

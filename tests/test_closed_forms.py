@@ -235,3 +235,14 @@ def test_active_insulin_can_look_back_by_time_alone(spark):
     df = spark.createDataFrame(rows, "participant_id long, EventDateTime timestamp_ntz, TotalBolusInsulinDelivered double")
     last = lambda n: X.insulin_on_board(df, rows=n).orderBy("EventDateTime").collect()[-1].insulin_on_board
     assert last(None) == pytest.approx(last(300)) and last(None) > last(100)
+
+
+def test_correlation_of_constant_measures_is_null(spark):
+    from glyco.operators.explore import basal_bg_correlation
+
+    rows = {"steady": [(1.0, 100.0), (None, 110.0)], "flat": [(1.0, 100.0), (2.0, 100.0)], "one": [(1.0, 100.0)], "rising": [(1.0, 100.0), (2.0, 110.0)]}
+    parts = [series(spark, [(5 * k, *v) for k, v in enumerate(vs)], "Basal double, CGM double", pid) for pid, vs in rows.items()]
+    df = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    got = {r["participant_id"]: (r["n"], r["correlation"]) for r in basal_bg_correlation(df).collect()}
+    assert got.pop("rising") == (2, pytest.approx(1.0))
+    assert got == {"steady": (2, None), "flat": (2, None), "one": (1, None)}
