@@ -595,9 +595,19 @@ def comprehensive_metrics_training(spark, d):
     return rounded(out.select("participant_id", "regression_mae", "training_total_epochs", "training_best_val_loss"))
 
 
+PER_FILE = 500  # models or runs in a file, on average
+
+
+def dealt(spark, d):
+    """The events with the number ``file`` that their user's record is written to."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    files = events.select(F.greatest(F.ceil(F.approx_count_distinct("user_id") / PER_FILE), F.lit(1)).alias("files"))
+    return events.crossJoin(F.broadcast(files)).withColumn("file", F.pmod(F.xxhash64("user_id"), "files"))
+
+
 def registry_folder(spark, d):
-    """Users as models, their days as versions with the day's mean value as loss: one registry file per model, in the shared folder."""
-    daily = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id", F.dayofmonth("ts").alias("day")).agg(F.avg("value").alias("loss"), F.min("ts").alias("ts"))
+    """Users as models, their days as versions with the day's mean value as loss: registry files of many models, in the shared folder."""
+    daily = dealt(spark, d).groupBy("file", "user_id", F.dayofmonth("ts").alias("day")).agg(F.avg("value").alias("loss"), F.min("ts").alias("ts"))
     info = F.struct(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
         F.create_map(F.lit("loss"), F.col("loss")).alias("performance"),
@@ -605,10 +615,11 @@ def registry_folder(spark, d):
         F.array(F.lit("daily")).alias("tags"),
     )
     version = F.concat(F.lit("1."), F.col("day").cast("string"), F.lit(".0"))
-    models = daily.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct(version, info))).alias("v"))
-    text = F.to_json(F.create_map(F.concat(F.lit("user_"), F.col("user_id").cast("string")), F.col("v")))
+    models = daily.groupBy("file", "user_id").agg(F.map_from_entries(F.collect_list(F.struct(version, info))).alias("v"))
+    name = F.concat(F.lit("user_"), F.col("user_id").cast("string"))
+    text = models.groupBy("file").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(name, "v")))).alias("value"))
     path = f"{checkpoint_dir(spark)}/registry-{uuid.uuid4()}"
-    models.select(text.alias("value")).repartition(8).write.option("maxRecordsPerFile", 1).text(path)
+    text.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -625,12 +636,13 @@ def read_registry(spark, d):
 @query("read_run_logs", f"""SELECT 'run_' || user_id AS run_id, day(ts)::BIGINT AS epoch, {r('avg(value)', 'value')} FROM events GROUP BY user_id, day(ts)""")
 def read_run_logs(spark, d):
     prepare(spark)
-    daily = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id", F.dayofmonth("ts").alias("epoch")).agg(F.avg("value").alias("loss"), F.min("ts").alias("ts"))
+    daily = dealt(spark, d).groupBy("file", "user_id", F.dayofmonth("ts").alias("epoch")).agg(F.avg("value").alias("loss"), F.min("ts").alias("ts"))
     entry = F.struct(F.col("epoch"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.col("loss"))
-    runs = daily.groupBy("user_id").agg(F.sort_array(F.collect_list(entry)).alias("history"))
-    named = runs.select(F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("run_id"), F.lit("completed").alias("status"), "history")
+    runs = daily.groupBy("file", "user_id").agg(F.sort_array(F.collect_list(entry)).alias("history"))
+    run = F.struct(F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("run_id"), F.lit("completed").alias("status"), "history")
+    text = runs.groupBy("file").agg(F.to_json(F.collect_list(run)).alias("value"))
     path = f"{checkpoint_dir(spark)}/runs-{uuid.uuid4()}"
-    named.repartition(8).write.option("maxRecordsPerFile", 1).json(path)
+    text.select("value").write.option("maxRecordsPerFile", 1).text(path)
     logs_ = G.read_run_logs(spark, path).filter("metric = 'loss'")
     return rounded(logs_.select("run_id", F.col("epoch").cast("bigint").alias("epoch"), "value"))
 

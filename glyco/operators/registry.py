@@ -16,7 +16,7 @@ VERSION_FIELDS = (
 
 
 def read_registry(spark, path: str) -> DataFrame:
-    """Registry JSON (model to version to record) as one row per version."""
+    """Registry JSON (model to version to record) as one row per version; each file holds any number of models."""
     text = spark.read.text(path, wholetext=True)
     models = text.select(F.explode(F.from_json("value", VERSION_FIELDS)).alias("model", "versions"))
     return models.select("model", F.explode("versions").alias("version", "_r")).select(
@@ -26,12 +26,13 @@ def read_registry(spark, path: str) -> DataFrame:
 
 
 def read_run_logs(spark, path: str) -> DataFrame:
-    """Run JSON files (``run_id, status, history[...]``) as long epoch logs."""
+    """Run JSON files as long epoch logs. A file holds one run (``run_id, status, history[...]``) or an array of runs."""
     text = spark.read.text(path, wholetext=True)
-    run = F.from_json(
-        "value", "struct<run_id:string,start_time:string,end_time:string,status:string,history:array<map<string,string>>>"
+    # An array type also takes a single object.
+    runs = F.from_json(
+        "value", "array<struct<run_id:string,start_time:string,end_time:string,status:string,history:array<map<string,string>>>>"
     )
-    epochs = text.select(run.alias("r")).select("r.run_id", "r.status", F.explode("r.history").alias("h"))
+    epochs = text.select(F.explode(runs).alias("r")).select("r.run_id", "r.status", F.explode("r.history").alias("h"))
     entries = F.map_filter("h", lambda k, v: ~k.isin("epoch", "timestamp"))
     return epochs.select(
         "run_id",

@@ -99,6 +99,24 @@ def test_registry_and_runs(spark, tmp_path):
     assert G.run_durations(logs).first()["duration_seconds"] == 180.0
 
 
+def test_registry_and_run_files_hold_many_records(spark, tmp_path):
+    from entry_queries import monitoring as Y
+
+    for n in range(3):
+        record = {"created_at": "2024-01-01T00:00:00", "performance": {"loss": float(n)}, "description": "", "tags": []}
+        (tmp_path / f"registry{n}.json").write_text(json.dumps({f"m{n}{k}": {"1.0.0": record} for k in range(4)}))
+        (tmp_path / f"runs{n}.json").write_text(json.dumps([{"run_id": f"r{n}{k}", "status": "completed", "history": [{"epoch": 1, "loss": k}]} for k in range(4)], indent=1))
+    assert {r["model"] for r in G.read_registry(spark, str(tmp_path / "registry*.json")).collect()} == {f"m{n}{k}" for n in range(3) for k in range(4)}
+    assert {r["run_id"]: r["value"] for r in G.read_run_logs(spark, str(tmp_path / "runs*.json")).collect()} == {f"r{n}{k}": k for n in range(3) for k in range(4)}
+    # Files written for a table of 2000 users: a few, not one each.
+    (tmp_path / "data").mkdir()
+    spark.range(4000).selectExpr("id % 2000 user_id", "timestamp_ntz'2024-01-01 00:00:00' ts", "double(id) value").write.parquet(str(tmp_path / "data" / "events.parquet"))
+    folder = Y.registry_folder(spark, str(tmp_path / "data"))
+    assert G.read_registry(spark, folder).count() == 2000 and spark.read.text(folder, wholetext=True).count() <= 8
+    logs = Y.read_run_logs(spark, str(tmp_path / "data"))
+    assert logs.count() == 2000 and len(logs.inputFiles()) <= 8
+
+
 def test_sequence_sink(spark, tmp_path):
     df = spark.createDataFrame([("a", [[1.0]], 1.0, "train"), ("b", [[2.0]], 2.0, "test")], "participant_id string, x array<array<double>>, y double, split string")
     K.write_sequences(df, str(tmp_path / "out"), spark.createDataFrame([(1,)], "steps int"))
