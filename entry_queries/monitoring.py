@@ -837,10 +837,8 @@ def apply_per_participant(spark, d):
     df = load_cgm(spark, d).withColumn("week", F.weekofyear("EventDateTime")).select("participant_id", "week", "CGM")
 
     def count(pdf):
-        first = pdf.iloc[0]
-        return pd.DataFrame(
-            {"participant_id": [first["participant_id"]], "week": [first["week"]], "n": [len(pdf)], "known": [pdf["CGM"].notna().sum()]}
-        )
+        row = [pdf["participant_id"].iat[0], pdf["week"].iat[0], len(pdf), pdf["CGM"].count()]
+        return pd.DataFrame([row], columns=["participant_id", "week", "n", "known"])
 
     return U.apply_per_participant(df, count, "participant_id bigint, week int, n bigint, known bigint", ["participant_id", "week"])
 

@@ -10,8 +10,9 @@ from typing import BinaryIO
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import KEY
 from ..sources.handles import listing, stream_files
@@ -34,8 +35,57 @@ def apply_per_participant(
 
     Give ``by`` a finer grain than the participant (say participant and day) when a
     series may be large; the built-in operators of this library need no such care.
+
+    Sorted rows reach Python in batches of many groups, so that a small group costs a slice
+    of a batch and no exchange of its own.
     """
-    return df.groupBy(*(by or [KEY])).applyInPandas(func, schema)
+    keys = by or [KEY]
+    # Whole numbers and booleans stay what they are in groups without missing values, so these travel apart.
+    whole = [f for f in df.schema.fields if f.nullable and isinstance(f.dataType, (T.IntegralType, T.BooleanType))]
+    held = {f.name: F.coalesce(F.col(f"`{f.name}`"), F.lit(0).cast(f.dataType)) for f in whole}
+    columns = [held.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns]
+    missing = [F.col(f"`{f.name}`").isNull().alias(f"_missing_{i}") for i, f in enumerate(whole)]
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))) == 1
+    names, gaps = df.columns, [(f"_missing_{i}", f.name, object if isinstance(f.dataType, T.BooleanType) else float) for i, f in enumerate(whole)]
+
+    def applied(rows: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
+        """``func`` of the groups that begin at ``starts``; results of equal types leave together."""
+        inner, gappy = rows[names], [(rows[m].to_numpy(), c, kind) for m, c, kind in gaps if rows[m].any()]
+        kept, kinds = [], None
+        for a, b in zip(starts, [*starts[1:], len(rows)]):
+            group = inner.iloc[a:b].reset_index(drop=True)
+            for gap, c, kind in gappy:
+                if gap[a:b].any():
+                    group[c] = group[c].astype(kind).mask(gap[a:b], None if kind is object else np.nan)
+            out = func(group)
+            if not len(out):
+                continue
+            shape = [*zip(out.columns, out.dtypes)]
+            if shape != kinds and kept:
+                yield pd.concat(kept, ignore_index=True)
+                kept = []
+            kept.append(out)
+            kinds = shape
+        if kept:
+            yield pd.concat(kept, ignore_index=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_group: list[pd.DataFrame] = []  # the last group may go on in the next batch
+        for batch in batches:
+            starts = np.flatnonzero(batch["_first"].to_numpy())
+            if len(starts):
+                cut = starts[-1]
+                whole_groups = pd.concat([*open_group, batch.iloc[:cut]], ignore_index=True) if open_group else batch.iloc[:cut]
+                if len(whole_groups):
+                    yield from applied(whole_groups, np.flatnonzero(whole_groups["_first"].to_numpy()))
+                open_group = [batch.iloc[cut:]]
+            elif len(batch):
+                open_group.append(batch)
+        if open_group:
+            yield from applied(pd.concat(open_group, ignore_index=True), np.zeros(1, int))
+
+    # The window leaves the rows of a group next to each other.
+    return df.select("*", *missing, first.alias("_first")).select(*columns, *[m for m, *_ in gaps], "_first").mapInPandas(run, schema)
 
 
 def map_files(

@@ -7,10 +7,12 @@ import io
 import json
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from glyco.operators import registry as G
+from glyco.operators import udf as U
 from glyco.operators.udf import map_reduce
 from glyco.sources import files as S
 from glyco.sources import sinks as K
@@ -117,6 +119,28 @@ def test_registry_and_run_files_hold_many_records(spark, tmp_path):
     assert logs.count() == 2000 and len(logs.inputFiles()) <= 8
 
 
+def test_user_function_per_group(spark):
+    """Groups that cross batches, null keys and null whole numbers beside large ones; Python is not entered once per group."""
+    big = 2**60 + 1
+    rows = [(None if k % 50 == 49 else k % 50, "a" if k % 2 else None, big if k % 50 < 25 else None, k % 50 == 3 or None) for k in range(3000)]
+    df = spark.createDataFrame(rows, "participant_id long, name string, x long, flag boolean")
+
+    def told(pdf):
+        x, flag = pdf["x"], pdf["flag"]
+        return pd.DataFrame({"id": [pdf["participant_id"].iat[0]], "n": [len(pdf)], "x": [int(x.iat[0]) if x.notna().all() else None], "t": [f"{x.dtype} {flag.dtype} {list(pdf.index) == list(range(len(pdf)))}"], "names": [pdf["name"].nunique(dropna=False)]})
+
+    schema = "id long, n long, x long, t string, names long"
+    out = U.apply_per_participant(df, told, schema)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+        got = {tuple(r) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got == {tuple(r) for r in df.groupBy("participant_id").applyInPandas(told, schema).collect()} and len(got) == 50
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+
+
 def test_sequence_sink(spark, tmp_path):
     df = spark.createDataFrame([("a", [[1.0]], 1.0, "train"), ("b", [[2.0]], 2.0, "test")], "participant_id string, x array<array<double>>, y double, split string")
     K.write_sequences(df, str(tmp_path / "out"), spark.createDataFrame([(1,)], "steps int"))
